@@ -2,16 +2,15 @@
 
 A byte-level BPE never merges across pre-tokens, so the count of a text is the
 sum, over its pre-tokens, of their piece counts. Pre-tokens are cut at white
-space the way the vocabulary's pattern cuts there (a run of other characters
-with at most one space before it, or white space), and
-
-1. the distinct pre-tokens of all texts are counted, with partial counts per task;
-2. each distinct one is encoded once, which gives its number of pieces;
-3. a second pass takes per-document pre-token frequencies. The commonest
-   pre-tokens (``HEAD`` of them, each of at most ``HEAD_CHARS`` characters, so at
-   most about 30 MB) are joined from a broadcast and summed where they stand; the
-   others leave as (text key, pre-token, frequency) and meet their piece counts
-   in a shuffle join, which has no hot key because hot pre-tokens are in the head.
+space the way the vocabulary's pattern cuts there: a run of other characters
+with at most one space before it, or white space.
+
+Each block of texts (an Arrow batch) is reduced to per-document pre-token
+frequencies; the block's distinct pre-tokens that the worker doesn't know yet
+are encoded once, for their number of pieces alone; and the frequencies are
+joined to those numbers and summed. What a worker knows is bounded by ``MEMO``.
+A join through the whole corpus's table of distinct pre-tokens gives the same
+counts but moves most of the corpus: rare pre-tokens outnumber the texts.
 """
 
 from __future__ import annotations
@@ -24,18 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moraine.llm.common import Workspace, table, text_key, tokenizer_path
+from moraine.llm.common import table, tokenizer_path
 
-#: Pre-tokens in the broadcast head, and the longest of them in characters.
-HEAD, HEAD_CHARS = 200_000, 64
-#: Distinct pre-tokens that a task holds before it passes partial counts on.
-HELD = 200_000
+#: Pre-tokens that a worker knows before it starts anew.
+MEMO = 400_000
 LIMIT = 512
 
 _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _UNITS = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]")
-#: Texts are cut in pieces of about this many characters where a word begins.
-_PIECE = 1 << 20
 
 
 def units(text: str) -> list[str]:
@@ -67,85 +62,68 @@ def _tokenizer(path: str, kept: dict = {}):  # noqa: B006  one for each path and
     return kept[path]
 
 
-def pretoken_counts(docs: DataFrame, path: str) -> DataFrame:
-    """pretoken, n: every distinct pre-token of all texts and how often it occurs."""
-    schema = pa.schema([("pretoken", pa.string()), ("n", pa.int64())])
+class PieceCounts:
+    """Number of pieces of each pre-token, found once while it is known."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        special, held = _special(_tokenizer(path)), Counter()
-
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], schema=schema)
-
-        for batch in batches:
-            for text in batch.column(0):
-                if found := text.as_py():
-                    for part in special.split(found):
-                        held.update(units(part))
-                if len(held) > HELD:
-                    yield out()
-                    held.clear()
-        yield out()
-
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "pretoken string, n bigint").groupBy("pretoken").agg(F.sum("n").alias("n"))
+    def __init__(self, path: str, memo: int = MEMO):
+        self.tokenizer, self.most, self.known = _tokenizer(path), memo, {}
+        self.special = _special(self.tokenizer)
 
+    def add(self, pretokens: set[str]) -> None:
+        new = list(pretokens.difference(self.known))
+        if len(self.known) + len(new) > self.most:
+            self.known.clear()
+            new = list(pretokens)
+        for start in range(0, len(new), 50_000):
+            some = new[start : start + 50_000]
+            encoded = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+            self.known.update(zip(some, map(len, encoded)))
 
-def piece_counts(pretokens: DataFrame, path: str) -> DataFrame:
-    """Adds n_pieces to each row of (pretoken, n)."""
-    schema = pa.schema([("pretoken", pa.string()), ("n", pa.int64()), ("n_pieces", pa.int64())])
+    def count(self, texts: list[str]) -> list[int]:
+        """Tokens of each text of a block."""
+        found = [_counted(text, self.special) for text in texts]
+        self.add(set().union(*(f for f, _ in found)))
+        known = self.known
+        return [special + sum(known[p] * n for p, n in f.items()) for f, special in found]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(path)
-        for batch in batches:
-            encoded = tokenizer.encode_batch_fast(batch.column(0).to_pylist(), add_special_tokens=False)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), pa.array([len(e) for e in encoded], pa.int64())], schema=schema)
 
-    return pretokens.select("pretoken", "n").mapInArrow(run, "pretoken string, n bigint, n_pieces bigint")
+#: Characters of the texts of a block, or one text.
+_BLOCK = 2_000_000
 
 
-def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, head: int = HEAD) -> DataFrame:
+def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit), a row for each row.
 
     A null text counts as empty: 0 bytes, 0 tokens. Repeated rows and null
     doc_ids keep a row each; other columns aren't read. An empty table gives no
     rows. Special strings inside a text are one token each, as the library's
-    default has it.
+    default has it. Needs no shuffle.
     """
-    spark = docs.sparkSession
-    work = Workspace(spark, "token-counts")
-    pieces = work.write(piece_counts(pretoken_counts(docs, path), path), "pieces")
-    top = pieces.where(F.char_length("pretoken") <= HEAD_CHARS).orderBy(F.desc("n"), "pretoken").limit(head)
-    known = spark.sparkContext.broadcast({r[0]: r[1] for r in top.select("pretoken", "n_pieces").toLocalIterator()} if head else {})
-
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("n_bytes", pa.int64()), ("head_tokens", pa.int64()), ("rest", pa.list_(pa.struct([("pretoken", pa.string()), ("f", pa.int64())])))])
-    ddl = "doc_id bigint, key binary, n_bytes bigint, head_tokens bigint, rest array<struct<pretoken:string,f:bigint>>"
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        special, get = _special(_tokenizer(path)), known.value.get
+        pieces = _pieces(path)
         for batch in batches:
-            n_bytes, tokens, rest = [], [], []
-            for scalar in batch.column(1):
-                text = scalar.as_py() or ""
-                found, total = _counted(text, special)
-                left = []
-                for pretoken, f in found.items():
-                    if (n := get(pretoken)) is None:
-                        left.append({"pretoken": pretoken, "f": f})
-                    else:
-                        total += n * f
-                n_bytes.append(len(text.encode("utf-8", "replace")))
-                tokens.append(total)
-                rest.append(left)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n_bytes, pa.int64()), pa.array(tokens, pa.int64()), pa.array(rest, schema.field("rest").type)], schema=schema)
-
-    counted = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), text_key(F.col("text").cast("string")).alias("key")).mapInArrow(run, ddl)
-    counted = work.write(counted, "counted")
-    # Texts with the same key have the same remainder: it is joined once and shared.
-    rest = counted.where(F.size("rest") > 0).select("key", F.explode("rest").alias("r")).select("key", "r.pretoken", "r.f").distinct()
-    sums = rest.join(pieces.select("pretoken", "n_pieces"), "pretoken").groupBy("key").agg(F.sum(F.col("f") * F.col("n_pieces")).alias("rest_tokens"))
-    simple = counted.where(F.size("rest") == 0).select("doc_id", "n_bytes", F.col("head_tokens").alias("n_tokens"))
-    mixed = counted.where(F.size("rest") > 0).join(sums, "key", "left").select("doc_id", "n_bytes", (F.col("head_tokens") + F.col("rest_tokens")).alias("n_tokens"))
-    return simple.unionByName(mixed).withColumn("over_limit", F.col("n_tokens") > limit)
+            ids, start = batch.column(0), 0
+            while start < len(batch):
+                texts, size = [], 0
+                while start + len(texts) < len(batch) and size < _BLOCK:
+                    texts.append(batch.column(1)[start + len(texts)].as_py() or "")
+                    size += len(texts[-1])
+                n_tokens = pieces.count(texts)
+                n_bytes = [len(t.encode("utf-8", "replace")) for t in texts]
+                columns = [ids.slice(start, len(texts)), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > limit for n in n_tokens], pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+                start += len(texts)
+
+    ddl = "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean"
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, ddl)
+
+
+def _pieces(path: str, kept: dict = {}) -> PieceCounts:  # noqa: B006  one for each path and Python worker
+    if path not in kept:
+        kept[path] = PieceCounts(path)
+    return kept[path]
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
