@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from moraine.llm import bpe, token_counts
+from moraine.llm import bpe, langid, minhash, token_counts, toxicity
 
 _QUERIES = {
     "op1_token_counts": (token_counts.op1_token_counts, None),
+    "op3_toxicity": (toxicity.op3_toxicity, None),
+    "op4_near_duplicates": (minhash.op4_near_duplicates, None),
+    "op6_language_id": (langid.op6_language_id, None),
     "op7_bpe_codec": (bpe.op7_bpe_codec, None),
 }
 
