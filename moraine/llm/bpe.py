@@ -2,7 +2,8 @@
 
 ASCII white space never lies inside a token of the word-level vocabulary, so a
 text is the concatenation of its white-space-free runs; each distinct run is
-encoded once and kept in a bounded memo. A run that stays long and unsplit goes
+encoded once and kept in a bounded memo, as is each distinct pre-token of runs in
+Latin letters, whose cuts are plain. A run that stays long and unsplit goes
 through tree concatenation: its leaves are encoded in parallel in one batch,
 then neighbours are joined pairwise, re-encoding a window around each join that
 grows until it agrees with both sides.
@@ -13,6 +14,8 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
+import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,6 +31,10 @@ LONG_RUN = 4096
 #: Memo entries after which it is emptied.
 MEMO = 300_000
 
+#: Runs whose pre-tokens follow from these patterns after lower-casing: ASCII and Latin letters that lower-case within the range.
+_LATIN = re.compile("[\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017f]*")
+_PRETOKEN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\u017f]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\u017f]+")
+
 Token = tuple[int, int]  # id, length in byte-level symbols
 
 
@@ -112,9 +119,11 @@ class WordBpe:
         self.specials = {t["content"]: t["id"] for t in self.spec["added_tokens"]}
         self.ids: dict[bytes, bytes] = {}
         self.texts: dict[bytes, bytes] = {}
+        self.pretokens: dict[str, tuple[bytes, bytes]] = {}
         self.pieces = [b""] * self.tokenizer.get_vocab_size(with_added_tokens=True)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.pieces[i] = token.encode()
+        self.final = [p.endswith(self.spec["model"]["end_of_word_suffix"].encode()) for p in self.pieces]
         self._tree: TreeEncoder | None = None
 
     @property
@@ -128,8 +137,6 @@ class WordBpe:
 
     def _long(self, run: str) -> list[int]:
         """Ids of a long run: special strings first, then pre-token by pre-token."""
-        import re
-
         out: list[int] = []
         for part in re.split("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")", run):
             if part in self.specials:
@@ -140,28 +147,81 @@ class WordBpe:
                     out += self.tree.encode(symbols)
         return out
 
+    def _plain(self, runs: list[tuple[bytes, str]]) -> None:
+        """Learns runs in Latin letters by their pre-tokens."""
+        cut = [_PRETOKEN.findall(run.lower()) for _, run in runs]
+        new = list(set().union(*cut).difference(self.pretokens))
+        if len(self.pretokens) + len(new) > self.most:
+            self.pretokens.clear()
+            new = list(set().union(*cut))
+        ids = self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids
+        ends = [i for i, t in enumerate(ids, 1) if self.final[t]]
+        if len(ends) != len(new):  # not cut as expected
+            for pretoken in new:
+                self.pretokens[pretoken] = self._pack(self.tokenizer.encode(pretoken, add_special_tokens=False).ids)
+        else:
+            packed, pieces, start = struct.pack(f"<{len(ids)}I", *ids), [self.pieces[t] for t in ids], 0
+            for pretoken, end in zip(new, ends):
+                self.pretokens[pretoken] = packed[4 * start : 4 * end], b" ".join(pieces[start:end])
+                start = end
+        get = self.pretokens.__getitem__
+        for (run, _), parts in zip(runs, cut):
+            if len(parts) == 1:
+                self.ids[run], self.texts[run] = get(parts[0])
+            else:
+                found = [get(p) for p in parts]
+                self.ids[run], self.texts[run] = b"".join([x for x, _ in found]), b" ".join([x for _, x in found])
+
+    def _learn(self, new: list[bytes]) -> None:
+        plain, other = [], []
+        for r in new:
+            run = r.decode()
+            if len(r) > self.long_run:
+                self.ids[r], self.texts[r] = self._pack(self._long(run))
+            elif _LATIN.fullmatch(run) and "<|" not in run:
+                plain.append((r, run))
+            else:
+                other.append((r, run))
+        if plain:
+            self._plain(plain)
+        for (r, _), e in zip(other, self.tokenizer.encode_batch_fast([x for _, x in other], add_special_tokens=False)):
+            self.ids[r], self.texts[r] = self._pack(e.ids)
+
     def encode(self, text: str) -> tuple[bytes, bytes]:
         """Ids as little-endian unsigned 32-bit integers, and the decoded text in UTF-8."""
-        runs = text.encode("utf-8", "replace").split()
-        new = [r for r in set(runs).difference(self.ids) if r]
-        if new:
-            if len(self.ids) + len(new) > self.most:
-                self.ids.clear()
-                self.texts.clear()
-                new = list(set(runs))
-            short = [r for r in new if len(r) <= self.long_run]
-            encoded = self.tokenizer.encode_batch_fast([r.decode() for r in short], add_special_tokens=False)
-            for r, e in zip(short, encoded):
-                self.ids[r], self.texts[r] = self._pack(e.ids)
-            for r in new:
-                if len(r) > self.long_run:
-                    self.ids[r], self.texts[r] = self._pack(self._long(r.decode()))
-        ids = b"".join(map(self.ids.__getitem__, runs))
-        decoded = b" ".join(filter(None, map(self.texts.__getitem__, runs)))
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+        """``encode`` of each text; what is new in any of them is learned together."""
+        cut = [text.encode("utf-8", "replace").split() for text in texts]
+        runs = set().union(*cut)
+        new = list(runs.difference(self.ids))
+        if len(self.ids) + len(new) > self.most:
+            self.ids.clear()
+            self.texts.clear()
+            new = list(runs)
+        self._learn(new)
+        out = [(b"".join(map(self.ids.__getitem__, c)), b" ".join(filter(None, map(self.texts.__getitem__, c)))) for c in cut]
         for r in new:
             if len(r) > self.long_run:
                 del self.ids[r], self.texts[r]
-        return ids, decoded
+        return out
+
+
+#: Characters of the texts that are encoded together, or one text.
+_BLOCK = 1_000_000
+
+
+def blocks(column: pa.Array) -> Iterator[list[str]]:
+    """The texts of a column in order, null as empty, about ``_BLOCK`` characters at a time."""
+    texts, size = [], 0
+    for scalar in column:
+        texts.append(scalar.as_py() or "")
+        size += len(texts[-1])
+        if size >= _BLOCK:
+            yield texts
+            texts, size = [], 0
+    yield texts
 
 
 _KEPT: dict[str, WordBpe] = {}
@@ -194,8 +254,8 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
         bpe = codec(path)
         for batch in batches:
             columns: list[list] = [[] for _ in fields]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids, decoded = bpe.encode(text.as_py() or "")
+            encoded = (x for texts in blocks(batch.column(1)) for x in bpe.encode_all(texts))
+            for doc_id, (ids, decoded) in zip(batch.column(0).to_pylist(), encoded):
                 row = [doc_id, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()]
                 if with_ids:
                     row += [list(memoryview(ids).cast("I")), decoded.decode()]
