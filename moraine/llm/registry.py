@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from moraine.llm import bpe, langid, minhash, token_counts, toxicity
+from moraine.llm import bpe, decontaminate, langid, minhash, pii, quality, substring, token_counts, toxicity, warc
 
 _QUERIES = {
     "op1_token_counts": (token_counts.op1_token_counts, None),
+    "op2_decontamination": (decontaminate.op2_decontamination, decontaminate.ORACLE),
     "op3_toxicity": (toxicity.op3_toxicity, None),
     "op4_near_duplicates": (minhash.op4_near_duplicates, None),
+    "op5_personal_data": (pii.op5_personal_data, None),
     "op6_language_id": (langid.op6_language_id, None),
     "op7_bpe_codec": (bpe.op7_bpe_codec, None),
+    "op8_substring_dedup": (substring.op8_substring_dedup, None),
+    "op9_warc": (warc.op9_warc, None),
+    "op10_quality": (quality.op10_quality, None),
 }
 
 
