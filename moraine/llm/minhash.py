@@ -8,8 +8,13 @@ equal to their Jaccard similarity, with the concentration of independent draws.
 
 ``BANDS`` bands of ``ROWS`` bins make bucket keys. A pair at similarity s shares
 each band with probability s**4: at 0.8 a pair shares no band of 32 with
-probability 5e-8 (at 0.85: 6e-11). Pairs go on when they share at least
-``AGREE`` bands (at 0.8 fewer than 2 with probability 1e-6).
+probability 5e-8 (at 0.85: 6e-11).
+
+A parity sketch of each set (of each of ``PARITY`` bits, whether an odd number of
+shingles falls on it) bounds pairs exactly: the bits in which two sketches
+differ are never more than the shingles in which the sets differ, and a link
+allows (100 - percent) / (100 + percent) of the two sizes' sum. Pairs beyond that
+are dropped before their texts are looked at.
 
 Links are confirmed on the full shingle sets. Not all pairs of a bucket are
 needed for the groups: texts with the same words are one node; in each bucket
@@ -31,12 +36,12 @@ from pyspark.sql import functions as F
 from moraine.llm.common import Workspace, table, text_key
 from moraine.llm.graph import components
 
-T, ROWS, AGREE = 128, 4, 2
+T, ROWS, PARITY = 128, 4, 2048
 BANDS = T // ROWS
 #: Candidate texts up to which their keys are broadcast to thin out the texts before the shuffle.
 BROADCAST_KEYS = 2_000_000
 #: Rounds with changing representatives before the exhaustive one.
-ROUNDS = 4
+ROUNDS = 3
 _MEMO = 500_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -74,7 +79,7 @@ def shingles(found: list[bytes], k: int) -> np.ndarray:
         return np.empty(0, np.uint64)
     h = np.fromiter(map(_WORDS.__getitem__, found), np.uint64, len(found))
     k = min(k, len(h))
-    x = h[: len(h) - k + 1] + np.uint64(k) * _GOLD
+    x = h[: len(h) - k + 1] + np.uint64(k * int(_GOLD) % (1 << 64))
     for j in range(1, k):
         x = _mix(x) + h[j : len(h) - k + 1 + j]
     return np.unique(_mix(x))
@@ -109,25 +114,39 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """The parity sketch of a set as signed 64-bit integers."""
+    odd = np.bincount((hashes >> np.uint64(20)).astype(np.int64) & (PARITY - 1), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _may_link(percent: int):
+    """Whether sizes and parity sketches of two sides leave room for a link."""
+    differ = sum((F.bit_count(F.get(F.col("odd_a"), F.lit(i)).bitwiseXOR(F.get(F.col("odd_b"), F.lit(i)))) for i in range(PARITY // 64)), F.lit(0))
+    sized = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    return sized & ((100 + percent) * differ <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
+
+
 def _signatures(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, text_key, words_key, n_shingles and keys (null without words), a row for each row."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.binary()), ("words_key", pa.binary()), ("n_shingles", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    """doc_id, text_key, words_key, n_shingles, keys and odd (null without words), a row for each row."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.binary()), ("words_key", pa.binary()), ("n_shingles", pa.int64()), ("keys", pa.list_(pa.int64())), ("odd", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made, digests, sizes, keys = {}, [], [], []
+            made, digests, sizes, keys, odd = {}, [], [], [], []
             for scalar in batch.column(1):
                 found = words(scalar.as_py() or "")
                 digest = xxhash.xxh3_128_digest(b" ".join(found)) if found else None
                 if digest not in made:
                     s = shingles(found, k)
-                    made[digest] = (len(s), bands(s) if len(s) else None)
+                    made[digest] = (len(s), bands(s), parity(s)) if len(s) else (0, None, None)
                 digests.append(digest)
                 sizes.append(made[digest][0])
                 keys.append(made[digest][1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], schema=schema)
+                odd.append(made[digest][2])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))], schema=schema)
 
-    ddl = "doc_id bigint, text_key binary, words_key binary, n_shingles bigint, keys array<bigint>"
+    ddl = "doc_id bigint, text_key binary, words_key binary, n_shingles bigint, keys array<bigint>, odd array<bigint>"
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), text_key(F.col("text").cast("string")).alias("text_key")).mapInArrow(run, ddl)
 
 
@@ -165,7 +184,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     work = Workspace(docs.sparkSession, "near-duplicates")
     signed = work.write(_signatures(docs, k), "signed")
     classes = signed.where("keys is not null").groupBy("words_key").agg(
-        F.min("doc_id").alias("first_id"), F.min("text_key").alias("text_key"), F.first("keys").alias("keys"), F.first("n_shingles").alias("n")
+        F.min("doc_id").alias("first_id"), F.min("text_key").alias("text_key"), F.first("keys").alias("keys"), F.first("odd").alias("odd"), F.first("n_shingles").alias("n")
     )
     classes = work.write(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
@@ -175,7 +194,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     nodes = members.select("node").distinct()
 
     # The texts of nodes in shared buckets, one each.
-    wanted = work.write(classes.join(nodes, "node", "left_semi").select("node", "text_key", "keys", "n"), "wanted")
+    wanted = work.write(classes.join(nodes, "node", "left_semi").select("node", "text_key", "keys", "odd", "n"), "wanted")
     texts = docs.select(F.col("text").cast("string"), text_key(F.col("text").cast("string")).alias("text_key")).where("text is not null")
     if wanted.count() <= BROADCAST_KEYS:
         short = wanted.select(F.xxhash64("text_key").alias("short")).distinct()
@@ -183,13 +202,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     texts = texts.groupBy("text_key").agg(F.first("text").alias("text"))
     texts = work.write(texts.join(wanted.select("text_key", "node"), "text_key").select("node", "text"), "texts")
 
-    sides = wanted.select("node", "keys", "n")
+    sides = wanted.select("node", "odd", "n")
 
     def check(pairs: DataFrame) -> DataFrame:
         """The links among (a, b) nodes."""
-        sized = pairs.join(sides.toDF("a", "keys_a", "n_a"), "a").join(sides.toDF("b", "keys_b", "n_b"), "b")
-        likely = F.size(F.array_intersect("keys_a", "keys_b")) >= AGREE
-        sized = sized.where(likely & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))).select("a", "b")
+        sized = pairs.join(sides.toDF("a", "odd_a", "n_a"), "a").join(sides.toDF("b", "odd_b", "n_b"), "b").where(_may_link(percent)).select("a", "b")
         full = sized.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
         return work.write(_confirmed(full, k, percent), "links")
 
@@ -220,12 +237,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         split = divided()
 
     # What is left: nodes of different groups in one bucket, each pair where it first meets.
-    left = split.join(sides, "node")
-    left = left.select("node", "h", "group", "keys", "n")
-    a, b = left.toDF("a", "h_a", "group_a", "keys_a", "n_a"), left.toDF("b", "h_b", "group_b", "keys_b", "n_b")
-    common = F.array_intersect("keys_a", "keys_b")
-    meet = (F.col("group_a") > F.col("group_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    meet = (F.col("h_a") == F.col("h_b")) & meet & (F.size(common) >= AGREE) & (F.array_min(common) == F.col("h_a"))
+    left = split.join(wanted.select("node", "keys", "odd", "n"), "node").select("node", "h", "group", "keys", "odd", "n")
+    a, b = left.toDF("a", "h_a", "group_a", "keys_a", "odd_a", "n_a"), left.toDF("b", "h_b", "group_b", "keys_b", "odd_b", "n_b")
+    meet = (F.col("h_a") == F.col("h_b")) & (F.col("group_a") > F.col("group_b")) & _may_link(percent)
+    meet = meet & (F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("h_a"))
     rest = a.join(b, meet).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     rest = work.write(rest.join(checked, ["a", "b"], "left_anti"), "pairs")
     found = check(rest)
