@@ -255,5 +255,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_key")
 
 
+def kept_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs that stay, with all their columns: of each group the row with the smallest doc_id.
+
+    Rows without words are in no group and stay; repeated rows share their fate.
+    """
+    gone = near_duplicates(docs, k, percent).where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("gone_id")) & (text_key(F.col("text").cast("string")) == F.col("gone_key"))
+    return docs.join(gone, same, "left_anti")
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85).drop("text_key")
