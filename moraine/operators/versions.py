@@ -9,23 +9,58 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+ORDER = ("ts", "seq")
 
-def _newest(log: DataFrame, order: tuple[str, ...]) -> DataFrame:
+
+def is_live() -> Column:
+    return ~F.col("is_tombstone")
+
+
+def latest(log: DataFrame, order: tuple[str, ...] = ORDER) -> DataFrame:
+    """One row per key: its newest version, which may be a tombstone."""
     # max_by has a partial aggregate, so a hot key leaves each map task as one row.
     row = F.struct(*[F.col(f"`{c}`") for c in log.columns])
     best = log.groupBy("key").agg(F.max_by(row, F.struct(*order)).alias("_row"))
     return best.select("_row.*")
 
 
-def latest(log: DataFrame, order: tuple[str, ...] = ("ts", "seq")) -> DataFrame:
-    """One row per key: its newest version, which may be a tombstone."""
-    return _newest(log, order)
-
-
 def live(view: DataFrame) -> DataFrame:
     """Rows that are not deletes."""
-    return view.where(~F.col("is_tombstone"))
+    return view.where(is_live())
 
 
-def is_live() -> Column:
-    return ~F.col("is_tombstone")
+def current(log: DataFrame) -> DataFrame:
+    """The live newest version of each key; deleted keys are hidden."""
+    return live(latest(log))
+
+
+def newest_live_version(log: DataFrame) -> DataFrame:
+    """Variant: the newest put of each key, also of keys deleted later."""
+    return latest(live(log))
+
+
+def all_live_versions(log: DataFrame) -> DataFrame:
+    """Variant: every put of every key whose newest version is a put."""
+    hidden = latest(log).where("is_tombstone").select("key")
+    return live(log).join(hidden, "key", "left_anti")
+
+
+def compact(log: DataFrame, drop_tombstones: bool = False) -> DataFrame:
+    """One row per key for a new run; reads before and after it agree.
+
+    With ``drop_tombstones`` keys whose newest version is a delete go, which is
+    right only where no older run is left.
+    """
+    return current(log) if drop_tombstones else latest(log)
+
+
+def put(log: DataFrame, rows: DataFrame) -> DataFrame:
+    """The log with puts (or any mutations) appended; missing columns are null."""
+    if "is_tombstone" not in rows.columns:
+        rows = rows.withColumn("is_tombstone", F.lit(False))
+    return log.unionByName(rows, allowMissingColumns=True)
+
+
+def delete(log: DataFrame, keys: DataFrame) -> DataFrame:
+    """The log with a tombstone (key, ts, seq) appended for each key."""
+    return log.unionByName(keys.withColumn("is_tombstone", F.lit(True)), allowMissingColumns=True)

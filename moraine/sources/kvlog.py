@@ -24,3 +24,8 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         "value",
         (F.col("event_type") == "error").alias("is_tombstone"),
     )
+
+
+def name_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """key: the names of customers and parts."""
+    return table(spark, sf_dir, "customer").select(F.col("c_name").alias("key")).unionByName(table(spark, sf_dir, "part").select(F.col("p_name").alias("key")))
