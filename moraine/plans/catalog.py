@@ -246,6 +246,8 @@ def _check_sql(items: str, b: Bloom) -> str:
 
 BUYERS_SQL = "select distinct cast(user_id as varchar) as item from events where event_type = 'purchase'"
 USERS_SQL = "select cast(user_id as varchar) as item from events"
+ABSENT_SQL = "select 'absent_' || p_partkey as item from part"
+EMPTY_SQL = "select '' as item"
 register(
     "bloom_params",
     lambda s, d: s.createDataFrame([(n, p, Bloom.sized(n, p).m, Bloom.sized(n, p).k) for n in (10, 100, 1000, 100_000) for p in (0.01, 0.02)], "n bigint, rate double, m bigint, k bigint"),
@@ -275,7 +277,7 @@ def _bloom_rate(spark: SparkSession, d: str) -> DataFrame:
 register(
     "bloom_fp_rate",
     _bloom_rate,
-    f"with {_bloom_sql(BUYERS_SQL, SMALL)} select count(*) as n, count(*) filter (present) as false_positives from {_check_sql('select concat(chr(97), chr(98), chr(115), chr(101), chr(110), chr(116), chr(95), p_partkey) as item from part', SMALL)}",
+    f"with {_bloom_sql(BUYERS_SQL, SMALL)} select count(*) as n, count(*) filter (present) as false_positives from {_check_sql(ABSENT_SQL, SMALL)}",
 )
 register(
     "bloom_merge",
@@ -304,7 +306,7 @@ register("cms_count", lambda s, d: CMS.count(CMS.matrix(_parts(s, d), "item"), _
 register(
     "cms_count_empty",
     lambda s, d: CMS.count(CMS.matrix(_users(s, d), "item"), s.createDataFrame([("",)], "item string"), "item"),
-    f"with {_cms_sql(USERS_SQL)} {_estimate_sql('select chr(97)[2:] as item')}",
+    f"with {_cms_sql(USERS_SQL)} {_estimate_sql(EMPTY_SQL)}",
 )
 register(
     "cms_merge",
@@ -314,7 +316,7 @@ register(
 
 
 def _hll_sql(items: str, by: str = "") -> str:
-    h = hash60_sql("chr(104) || chr(108) || chr(108)", "item")
+    h = hash60_sql("'hll'", "item")
     return f"""regs as (select {by} cast(h >> 50 as integer) as bucket, cast(max(bit_count(((h | (1::bigint << 50)) & -(h | (1::bigint << 50))) - 1) + 1) as integer) as rho
 from (select {by} {h} as h from (select distinct {by} item from ({items}))) group by {by} bucket)"""
 
@@ -357,8 +359,8 @@ TOKENS_SQL = f"""toks as (select doc_id, token from (select doc_id, unnest(list_
   where token <> '' and token not in ('this', 'is', 'a', 'with', 'to', 'the', 'some'))"""
 _half = lambda name, at: " + ".join(f"case when sum(case when ({name} >> {i}) & 1 = 1 then 1 else -1 end) > 0 then {1 << i}::bigint else 0 end" for i in range(32))
 FP_SQL = f"""{TOKENS_SQL}, hashed as (select doc_id, cast('0x' || substr(m, 1, 8) as bigint) as hi, cast('0x' || substr(m, 9, 8) as bigint) as lo from (select doc_id, md5(token) as m from toks)),
-some as (select doc_id, {_half('hi', 1)} as hi, {_half('lo', 9)} as lo from hashed group by doc_id),
-fp as (select d.doc_id, cast(coalesce(hi, 0) as bigint) as fp_hi, cast(coalesce(lo, 0) as bigint) as fp_lo from documents d left join some using (doc_id))"""
+sums as (select doc_id, {_half('hi', 1)} as hi, {_half('lo', 9)} as lo from hashed group by doc_id),
+fp as (select d.doc_id, cast(coalesce(hi, 0) as bigint) as fp_hi, cast(coalesce(lo, 0) as bigint) as fp_lo from documents d left join sums using (doc_id))"""
 
 
 def _fps(spark: SparkSession, d: str) -> DataFrame:
