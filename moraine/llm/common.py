@@ -75,3 +75,26 @@ def ascii_lower(text: Column) -> Column:
     """
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
+
+
+def window_hashes(df: DataFrame, hashes: str, sizes: list[int], names: list[str]) -> DataFrame:
+    """Adds a column for each size n: the hashes of the n-element windows of an array of hashes, in order.
+
+    Windows of 2, 4, 8... elements are each hashed from two halves, and those of
+    n from the powers of two in n: few steps for each window, however long it is.
+    """
+    powers, at = {1: hashes}, 1
+    # No array stands inside a lambda: an expression that the optimizer moves there is evaluated for each element.
+    joined = lambda left, right, by: F.zip_with(left, F.slice(right, by + 1, F.size(right)), lambda x, y: F.xxhash64(x, y))
+    while 2 * at <= max(sizes, default=1):
+        powers[2 * at] = f"_windows_{2 * at}"
+        df = df.withColumn(powers[2 * at], joined(powers[at], powers[at], at))
+        at *= 2
+    for n, name in zip(sizes, names):
+        bits = [p for p in powers if n & p]
+        made, size = powers[bits[0]], bits[0]
+        for p in bits[1:]:
+            df = df.withColumn(name, joined(made, powers[p], size))
+            made, size = name, size + p
+        df = df.withColumn(name, F.slice(made, 1, F.greatest(F.lit(0), F.size(hashes) - (n - 1))))
+    return df.drop(*[c for p, c in powers.items() if p > 1])

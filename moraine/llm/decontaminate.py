@@ -12,40 +12,77 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moraine.llm.common import ascii_lower, table, text_key
+from moraine.llm.common import ascii_lower, table, text_key, window_hashes
 
 WINDOW = 10
 #: Item windows up to which their hashes are broadcast; about 300 bytes each.
 BROADCAST_WINDOWS = 200_000
-_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words(text: str = "text") -> Column:
-    """The normalised words of a text; none of a null."""
-    return F.coalesce(F.regexp_extract_all(ascii_lower(F.col(text).cast("string")), F.lit(_WORD), F.lit(0)), F.array().cast("array<string>"))
+    """The normalised words [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ of a text; none of a null."""
+    # Split at what lies between: extracting matches copies the text for each of them.
+    return F.array_remove(F.split(F.coalesce(ascii_lower(F.col(text).cast("string")), F.lit("")), _GAP), "")
 
 
-def _windows(n: int) -> Column:
-    """Hashes of the windows of n words, in order, from the column h of word hashes."""
-    hashes = lambda i: F.xxhash64(*[F.get("h", i + j) for j in range(n)])
-    starts = F.sequence(F.lit(0), F.size("h") - n)
-    return F.when(F.size("h") >= n, F.transform(starts, hashes)).otherwise(F.array().cast("array<bigint>"))
+def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """n, g, item_words and items: each distinct window, its hash and the items that have it."""
+    found = items.select("item_id", words().alias("words")).where(F.size("words") > 0).withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
+    found = window_hashes(found, "h", list(range(1, window + 1)), [f"g{n}" for n in range(1, window + 1)])
+    n = F.least(F.lit(window), F.size("words"))
+    found = found.select("item_id", "words", n.alias("n"), F.coalesce(*[F.when(n == k, F.col(f"g{k}")) for k in range(1, window + 1)]).alias("all"))
+    single = found.select("item_id", "words", "n", F.posexplode_outer("all").alias("at", "g"))
+    single = single.select("item_id", "n", "g", F.slice("words", F.col("at") + 1, F.col("n")).alias("item_words"))
+    return single.groupBy("n", "g", "item_words").agg(F.collect_set("item_id").alias("items"))
 
 
-def _hashed(df: DataFrame) -> DataFrame:
-    return df.withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
+#: The hash that each document has once in a scan for all documents, at its first place.
+_EACH = -0x5DEECE66D
 
 
-def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """n, g, item_words and items: each distinct window, its hash and the items that have it."""
-    found = items.select("item_id", words().alias("words")).where(F.size("words") > 0).withColumn("n", F.least(F.lit(window), F.size("words")))
-    cut = F.transform(F.sequence(F.lit(0), F.size("words") - F.col("n")), lambda i: F.slice("words", i + 1, F.col("n")))
-    single = found.select("item_id", "n", F.explode(F.array_distinct(cut)).alias("item_words"))
-    joined = single.groupBy("n", "item_words").agg(F.collect_set("item_id").alias("items"))
-    # The hash chain of the documents' windows, from the words' hashes.
-    chains = {n: F.xxhash64(*[F.xxhash64(F.get("item_words", F.lit(j))) for j in range(n)]) for n in range(1, window + 1)}
-    chain = F.coalesce(*[F.when(F.col("n") == n, c) for n, c in chains.items()])
-    return joined.withColumn("g", chain)
+def _scan(rows: DataFrame, known: DataFrame, sizes: list[int], small: bool, each: bool = False) -> DataFrame:
+    """The hits of rows with words: their other columns, n_words, span and items of every verified window.
+
+    With ``each`` every row has one more hit whose span is null.
+    """
+    carry = [c for c in rows.columns if c != "words"]
+    rows = rows.withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
+    # The windows of all sizes in one array, those of each size together. It is a column before it is
+    # exploded: then generator, join and verification are one generated stage that copies no words. An outer
+    # generator infers no filter, which would be pushed down as a copy of the whole expression.
+    names = [f"_w{n}" for n in sizes]
+    rows = window_hashes(rows, "h", sizes, names)
+    rows = rows.select(*carry, "words", F.concat(F.array(*[F.lit(_EACH)] * each).cast("array<bigint>"), *names).alias("all"))
+    hashed = rows.select(*carry, *(["words"] if small else []), F.size("words").cast("bigint").alias("n_words"), F.posexplode_outer("all").alias("at", "g"))
+    before, start = F.lit(int(each)).cast("bigint"), F.lit(0).cast("bigint")
+    for n in sizes:
+        start = F.when(F.col("n") == n, before).otherwise(start)
+        before = before + F.greatest(F.lit(0), F.col("n_words") - (n - 1))
+    if each:
+        mark = known.sparkSession.range(1).select(F.lit(0).alias("n"), F.array().cast("array<string>").alias("item_words"), F.array().cast("array<bigint>").alias("items"), F.lit(_EACH).alias("g"))
+        known = known.select(*mark.columns).unionByName(mark)
+    if small:
+        found = hashed.join(F.broadcast(known), "g")
+    else:
+        found = hashed.join(known, "g").join(rows.select("text_key", "words").dropDuplicates(["text_key"]), "text_key")
+    found = found.withColumn("pos", (F.col("at") - start).cast("int"))
+    inside = (F.col("n") > 0) & (F.col("pos") >= 0) & (F.col("pos") + F.col("n") <= F.size("words"))
+    real = inside & (F.slice("words", F.when(inside, F.col("pos") + 1).otherwise(1), F.col("n")) == F.col("item_words"))
+    if each:
+        real = real | ((F.col("n") == 0) & (F.col("at") == 0))
+    return found.where(real).select(*carry, "n_words", F.when(F.col("n") > 0, F.struct("pos", "n")).alias("span"), F.when(F.col("n") > 0, F.col("items")).alias("items"))
+
+
+def _known(items: DataFrame, window: int, most: int) -> tuple[DataFrame, list[int], bool]:
+    """The items' windows, their sizes, and whether they are few enough to broadcast."""
+    known = item_windows(items, window).cache()
+    sizes = sorted((r.n for r in known.select("n").distinct().collect()), reverse=True)  # at most ``window``
+    return known, sizes, known.count() <= most
+
+
+def _gathered() -> tuple[Column, Column]:
+    return F.collect_set("span").alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items")
 
 
 def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, most: int = BROADCAST_WINDOWS) -> DataFrame:
@@ -54,29 +91,13 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, most: int = BR
     spans are distinct (pos, n): n words from the 0-based word pos are a window
     of some item; items are the distinct ids of the items with such windows.
     """
-    known = item_windows(items, window).cache()
-    sizes = sorted(r.n for r in known.select("n").distinct().collect())
-    small = known.count() <= most
+    known, sizes, small = _known(items, window, most)
     rows = docs.select(F.col("doc_id").cast("bigint"), text_key(F.col("text").cast("string")).alias("text_key"), words().alias("words"))
-    found = None
-    for n in sizes:  # at most ``window`` sizes
-        some = known.where(F.col("n") == n).select("g", "item_words", "items")
-        each = _hashed(rows.where(F.size("words") >= n))
-        if small:
-            each = each.select("doc_id", "text_key", "words", F.posexplode(_windows(n)).alias("pos", "g"))
-            each = each.join(F.broadcast(some), "g")
-        else:
-            each = each.select("doc_id", "text_key", F.posexplode(_windows(n)).alias("pos", "g"))
-            each = each.join(some, "g").join(rows.select("text_key", "words").dropDuplicates(["text_key"]), "text_key")
-        each = each.where(F.slice("words", F.col("pos") + 1, n) == F.col("item_words")).select("doc_id", "text_key", F.struct("pos", F.lit(n).alias("n")).alias("span"), "items")
-        found = each if found is None else found.unionByName(each)
-    if found is None:
-        found = docs.sparkSession.createDataFrame([], "doc_id bigint, text_key binary, span struct<pos:int,n:int>, items array<bigint>")
-    return found.groupBy("doc_id", "text_key").agg(F.collect_set("span").alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
-
-
-def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and items, a row for each row of docs.
+    return _scan(rows, known, sizes, small).groupBy("doc_id", "text_key").agg(*_gathered())
+
+
+def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, most: int = BROADCAST_WINDOWS) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated, a row for each row of docs.
 
     A word is hit if it lies in any occurrence of an item's window. Null and
     empty texts have no words and no hits; items without words have no windows.
@@ -84,19 +105,23 @@ def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> D
     where doc_id is null. Items may repeat, also their ids. Empty tables give no
     rows, or rows without hits. Other columns aren't read.
     """
-    found = hits(docs, items, window)
+    known, sizes, small = _known(items, window, most)
+    rows = docs.select(F.col("doc_id").cast("bigint"), F.monotonically_increasing_id().alias("row"), text_key(F.col("text").cast("string")).alias("text_key"), words().alias("words"))
+    if small:  # one scan gives every row and its hits
+        both = _scan(rows.drop("text_key"), known, sizes, small, each=True).groupBy("row", "doc_id", "n_words").agg(*_gathered())
+    else:
+        found = _scan(rows.drop("row", "doc_id"), known, sizes, small).groupBy("text_key").agg(*_gathered())
+        both = rows.select("doc_id", "text_key", F.size("words").cast("bigint").alias("n_words")).join(found, "text_key", "left")
     covered = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["pos"], s["pos"] + s["n"] - 1))))
-    found = found.select(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key"), F.size(covered).cast("bigint").alias("n_hit"), "items")
-    rows = docs.select(F.col("doc_id").cast("bigint"), text_key(F.col("text").cast("string")).alias("text_key"), F.size(words()).cast("bigint").alias("n_words"))
-    both = rows.join(found, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_key") == F.col("hit_key")), "left")
+    n_hit = F.when(F.size("spans") > 0, F.size(covered)).otherwise(0).cast("bigint")
     names = F.array_sort(F.transform(F.coalesce("items", F.array().cast("array<bigint>")), lambda i: i.cast("string")))
     return both.select(
         "doc_id",
         "n_words",
-        F.coalesce("n_hit", F.lit(0).cast("bigint")).alias("n_hit"),
+        n_hit.alias("n_hit"),
         F.size(names).cast("bigint").alias("n_items"),
         F.sha2(F.array_join(names, ",").cast("binary"), 256).alias("items_sha256"),
-        (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+        (n_hit > 0).alias("contaminated"),
     )
 
 
