@@ -22,6 +22,8 @@ from moraine.llm.common import table
 
 #: Training texts of each language, and of all, at most; landmarks of each language.
 PER_LANGUAGE, MOST, LANDMARKS = 400, 8_000, 60
+#: Rows of each language that are ranked for the sample, as a multiple of PER_LANGUAGE, about.
+SURPLUS = 4
 #: n-gram buckets, n-gram sizes and the ridge.
 DIM, SIZES, RIDGE = 1 << 15, (1, 2, 3), 1e-2
 #: Characters looked at together; texts are taken in pieces of this many and their presences united.
@@ -107,10 +109,17 @@ def held_out(doc_id="doc_id"):
 
 
 def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int = MOST) -> Model:
-    """Fits on at most ``per_language`` texts of each language and ``most`` in all, those with the smallest hashes."""
+    """Fits on at most ``per_language`` texts of each language and ``most`` in all, chosen by hashes of doc_id.
+
+    ``lang`` values are few or, where they are many, small: their counts are broadcast.
+    """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).where(~held_out()).select(F.col("doc_id").cast("bigint"), F.col("lang").cast("string"))
+    # Hashes thin each language to a few times what is taken before its rows meet in one task.
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
+    share = F.least(F.lit(1.0), F.lit(float(SURPLUS * per_language)) / F.col("n")) * (1 << 30)
+    thin = known.join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) < share)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    rank = known.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language)
+    rank = thin.select("doc_id", "lang", F.row_number().over(order).alias("r")).where(F.col("r") <= per_language)
     rank = rank.orderBy("r", "lang").limit(most).select("doc_id", "r")
     schema = pa.schema([("lang", pa.string()), ("r", pa.int32()), ("bits", pa.binary())])
 
