@@ -28,8 +28,8 @@ from moraine.llm.common import table, tokenizer_path
 LEAF = 2048
 #: Runs of more UTF-8 bytes than this bypass the memo and are looked at for long pre-tokens.
 LONG_RUN = 4096
-#: Memo entries after which it is emptied.
-MEMO = 300_000
+#: Entries after which a memo is emptied: a worker keeps its memos for later tasks, beside what other operators need.
+MEMO = 80_000
 
 #: Runs whose pre-tokens follow from these patterns after lower-casing: ASCII and Latin letters that lower-case within the range.
 _LATIN = re.compile("[\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017f]*")
@@ -262,6 +262,7 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
                 for column, value in zip(columns, row):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+        pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, ddl)
 

@@ -42,7 +42,7 @@ BANDS = T // ROWS
 BROADCAST_KEYS = 2_000_000
 #: Rounds with changing representatives before the exhaustive one.
 ROUNDS = 3
-_MEMO = 500_000
+_MEMO = 100_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -145,6 +145,7 @@ def _signatures(docs: DataFrame, k: int) -> DataFrame:
                 keys.append(made[digest][1])
                 odd.append(made[digest][2])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))], schema=schema)
+        pa.default_memory_pool().release_unused()
 
     ddl = "doc_id bigint, text_key binary, words_key binary, n_shingles bigint, keys array<bigint>, odd array<bigint>"
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), text_key(F.col("text").cast("string")).alias("text_key")).mapInArrow(run, ddl)
