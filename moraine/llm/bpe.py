@@ -28,8 +28,8 @@ from moraine.llm.common import table, tokenizer_path
 LEAF = 2048
 #: Runs of more UTF-8 bytes than this bypass the memo and are looked at for long pre-tokens.
 LONG_RUN = 4096
-#: Entries after which a memo is emptied: a worker keeps its memos for later tasks, beside what other operators need.
-MEMO = 80_000
+#: Entries after which a memo is emptied. A worker keeps its memos for later tasks; much smaller ones double the time.
+MEMO = 300_000
 
 #: Runs whose pre-tokens follow from these patterns after lower-casing: ASCII and Latin letters that lower-case within the range.
 _LATIN = re.compile("[\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017f]*")
