@@ -5,8 +5,8 @@ A unit is a line, or a part of it that ends after a sentence of at least
 equal passages are cut alike wherever they stand). Units are normalised (lower
 case, white space as one space) and hashed. Digests are grouped globally with
 partial counts; the occurrence with the smallest (doc_id, offset) is the first.
-A run of consecutive later occurrences in one text is removed if it has at
-least ``MIN_WORDS`` words, with its offsets in the original text.
+Every later occurrence is removed, consecutive ones of one text as one span with
+its offsets in the original text.
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from moraine.llm.common import Workspace, table
 
-MIN_SENTENCE, MIN_WORDS = 4, 20
+#: Words of a sentence that ends a unit, and of a run of later occurrences that is removed (1: all are).
+MIN_SENTENCE, MIN_WORDS = 4, 1
 _END = re.compile(r"[.!?]+\s+")
 
 
@@ -98,8 +99,9 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, n_units, n_shared, n_removed, removed_words and spans, a row for each row of docs.
 
     n_shared counts units whose digest occurs more than once, n_removed those in
-    the removed spans (start, end in code points, end exclusive). Units without
-    words and null texts have no digest. Rows with equal doc_id and text are one
+    the removed spans (start, end in code points, end exclusive): every
+    occurrence but the first, unless min_words spares runs of fewer words. Units
+    without words and null texts have no digest. Rows with equal doc_id and text are one
     document: they share their values and keep a row each, also where doc_id is
     null (null ranks last). An empty table gives no rows. Only doc_id and text
     are read.

@@ -182,6 +182,14 @@ def test_substring_brute(spark, edges):
     assert substring.repeated_spans(edges.limit(0)).count() == 0
 
 
+def test_substring_removes_short_repeats(spark):
+    long = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, f"Read more\n{long}\nfirst"), (2, f"other\nread  MORE\nmiddle\n{long}"), (3, "Read more\nRead more\nlast")], "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id: (r.n_removed, r.removed_words) for r in substring.repeated_spans(docs).collect()}
+    assert got == {1: (0, 0), 2: (2, 12), 3: (2, 4)}
+    assert {r.doc_id: r.text.split() for r in substring.without_repeats(docs).collect()} == {1: f"Read more {long} first".split(), 2: ["other", "middle"], 3: ["last"]}
+
+
 # --- WARC
 
 
