@@ -249,6 +249,24 @@ def test_quality_agrees_with_labels(spark, sf_oracle):
     assert sum(r.kept == (r.quality == 1) for r in both) >= 0.97 * len(both) > 0
 
 
+def test_quality_scores_whole_words_and_their_order(spark):
+    words = "understanding international communication requires considerable concentration".split() * 5
+    middle = [w[:3] + "qxzj" * ((len(w) - 6) // 4 + 1) + w[-3:] for w in words]
+    texts = [" ".join(words), " ".join(middle), " ".join(sorted(words))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    labels = spark.createDataFrame([(0, 1)], "doc_id bigint, quality int")
+    score = {r.doc_id: r.score for r in quality.quality(docs, labels).collect()}
+    assert score[1] < score[0] - 0.5 and score[2] < score[0]
+
+    def grams(text):
+        joined = " ".join(text.split())
+        return [tuple(joined[i : i + 3]) for i in range(len(joined) - 2)]
+
+    rows = spark.createDataFrame([(t,) for t in [*texts, "", "a", " ab ", "é 日 a  b\n"]], "text string")
+    for r in rows.select("text", quality.words().alias("words")).select("text", quality._grams().alias("g")).collect():
+        assert [tuple(g) for g in r.g] == grams(r.text)
+
+
 # --- near-duplicates
 
 
