@@ -2,8 +2,8 @@
 
 Base spans come from fixed patterns with checks, one kind at a time. They are
 the seeds of a bootstrapping: the words around a seed make lexical patterns
-(left words, right word), and other identifier-like tokens in the same contexts
-are candidate instances. Spark scores patterns and instances in turn on the
+(left words, right word), and other identifier-like tokens and runs of digit
+groups in the same contexts are candidate instances. Spark scores patterns and instances in turn on the
 pattern-instance graph, as weighted averages of each other with seeds held at 1
 for ``ROUNDS`` rounds; candidates of a pattern with enough support, distinct
 seeds and confidence become spans of its kind. Base spans always stay.
@@ -24,7 +24,7 @@ from moraine.llm.common import Workspace, table
 KINDS = ("email", "ip", "card", "phone")
 #: Rounds of the graph, and what a pattern needs: distinct seeds, share of seeds among its instances by weight.
 ROUNDS, MIN_SEEDS, MIN_CONFIDENCE = 3, 3, 0.6
-#: Code points of a candidate, and digits that one of another kind than email needs.
+#: Code points beyond which an instance stands as a digest, and digits that a candidate of another kind than email needs.
 MOST_CHARS, MIN_DIGITS = 64, 6
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -34,6 +34,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _CANDIDATE = re.compile(r"[^\s,;:!?\"'<>\[\]{}|=#*&$]+")
+_GROUPS = re.compile(r"[(\[]?[0-9]++(?:[ \u00a0.()\[\]\u2010-\u2015-]{1,3}[0-9]++)++")
 _EDGE = ".,;:!?\"'()<>[]{}|=#*&$"
 _WORD = re.compile(r"\S+")
 
@@ -111,27 +112,50 @@ def _shape(found: str) -> str:
     return re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]+", "9", found))
 
 
+def _instance(found: str) -> str:
+    return found if len(found) <= MOST_CHARS else hashlib.sha256(found.encode("utf-8", "replace")).hexdigest()
+
+
+def _grouped(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Runs of digit groups between base spans, out to the edges of the tokens that they start and end in."""
+    free = b = 0
+    for x, y in [*taken, (len(text), len(text))]:
+        for m in _GROUPS.finditer(text, free, x) if free < x else ():
+            if m.end() <= b:
+                continue
+            a, b = m.span()
+            while a > free and not text[a - 1].isspace() and text[a - 1] not in _EDGE:
+                a -= 1
+            while b < x and not text[b].isspace() and text[b] not in _EDGE:
+                b += 1
+            yield a, b
+        free = max(free, y)
+
+
 def _instances(text: str, spans: list[tuple[int, str, int]]) -> list[tuple]:
     """(start, end, kind or None, instance, pattern, pattern) of the seeds and the other identifier-like tokens."""
     out = []
     for a, kind, b in spans:
         before, left, right = _context(text, a, b)
-        out.append((a, b, kind, text[a:b][:MOST_CHARS], f"L2 {before} {left}", f"LR {left} {right}"))
+        out.append((a, b, kind, _instance(text[a:b]), f"L2 {before} {left}", f"LR {left} {right}"))
     if not _DIGIT.search(text) and "@" not in text:
         return out
-    taken, k = sorted((a, b) for a, _, b in spans), 0
+    taken, k, ends = sorted((a, b) for a, _, b in spans), 0, set()
     for m in re.finditer(r"\S*[0-9@]\S*", text):
         token = m.group()
         a = m.start() + len(token) - len(token.lstrip(_EDGE))
         b = m.end() - (len(token) - len(token.rstrip(_EDGE)))
         while k < len(taken) and taken[k][1] <= a:
             k += 1
-        if not 0 < b - a <= MOST_CHARS or any(x < b and a < y for x, y in taken[k : k + 8]):
+        if b <= a or any(x < b and a < y for x, y in taken[k : k + 8]):
             continue
         word = text[a:b]
         if "@" in word[1:-1] or sum(c in "0123456789" for c in word) >= MIN_DIGITS:
-            before, left, right = _context(text, a, b)
-            out.append((a, b, None, word, f"L2 {before} {left}", f"LR {left} {right}"))
+            ends.add((a, b))
+    ends |= {(a, b) for a, b in _grouped(text, taken) if sum(c in "0123456789" for c in text[a:b]) >= MIN_DIGITS}
+    for a, b in sorted(ends):
+        before, left, right = _context(text, a, b)
+        out.append((a, b, None, _instance(text[a:b]), f"L2 {before} {left}", f"LR {left} {right}"))
     return out
 
 
@@ -196,7 +220,10 @@ def personal_data(docs: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SE
     added = each.where("kind is null").drop("kind").join(patterns, "pattern")
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     added = added.groupBy("doc_id", "t", "start", "end").agg(F.min_by("kind", F.struct(-F.col("score"), order)).alias("kind"))
-    added = added.groupBy("doc_id", "t").agg(F.collect_list(F.struct("start", "kind", "end")).alias("added")).select(F.col("doc_id").alias("a_id"), F.col("t").alias("a_t"), "added")
+    added = added.groupBy("doc_id", "t").agg(F.collect_list(F.struct("start", "kind", "end")).alias("added"))
+    # A token within an added run of groups is part of it.
+    within = lambda s, o: (o["start"] <= s["start"]) & (o["end"] >= s["end"]) & (o["end"] - o["start"] > s["end"] - s["start"])
+    added = added.withColumn("added", F.filter("added", lambda s: ~F.exists("added", lambda o: within(s, o)))).select(F.col("doc_id").alias("a_id"), F.col("t").alias("a_t"), "added")
     both = scanned.drop("found").join(added, F.col("doc_id").eqNullSafe(F.col("a_id")) & (F.col("t") == F.col("a_t")), "left")
     parsed = F.transform(F.split("base", ","), lambda x: F.struct(F.get(F.split(x, ":"), F.lit(1)).cast("int").alias("start"), F.get(F.split(x, ":"), F.lit(0)).alias("kind"), F.get(F.split(x, ":"), F.lit(2)).cast("int").alias("end")))
     ranked = F.transform(F.concat(F.when(F.col("base") == "", F.array().cast("array<struct<start:int,kind:string,end:int>>")).otherwise(parsed), "added"), lambda s: F.struct(s["start"].alias("start"), F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).alias("k"), s["end"].alias("end"), s["kind"].alias("kind")))

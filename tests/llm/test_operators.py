@@ -77,6 +77,21 @@ def test_decontamination_removal(spark, edges):
     assert decontaminate.decontaminated(edges.limit(0), items).count() == 0
 
 
+def test_bootstrapping_finds_grouped_and_long_identifiers(spark):
+    known = [(i, f"Please reach me by phone number +1 555 0{i}0 4{i}{i}7 today.") for i in range(8)]
+    mails = [(20 + i, f"You may write to address someone{i}@example.org any time.") for i in range(8)]
+    odd = "ü" * 70 + "@" + "ö" * 20
+    grouped = ["555 0199 4471", "(030) 123 45 67", "(030) 1234567", "[030] 123.45.67", "DE89 3704 0044 0532 0130 00", "1234567"]
+    unseen = [(100 + i, f"Please reach me by phone number {g} today.") for i, g in enumerate(grouped)]
+    docs = spark.createDataFrame([*known, *mails, *unseen, (200, f"You may write to address {odd} any time."), (201, "The years 1990 1991 1992 passed.")], "doc_id bigint, text string")
+    rows = {r.doc_id: r for r in pii.personal_data(docs).collect()}
+    texts = {r.doc_id: r.text for r in pii.without_personal_data(docs).collect()}
+    for i, g in enumerate(grouped):
+        assert (rows[100 + i].n_added, rows[100 + i].spans.count(":")) == (1, 2), g
+        assert texts[100 + i] == "Please reach me by phone number [PHONE] today.", g
+    assert texts[200] == "You may write to address [EMAIL] any time." and rows[201].spans == ""
+
+
 # --- toxicity and language
 
 
