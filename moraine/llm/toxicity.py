@@ -181,8 +181,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Grammar:
     seeds = [w for w, c in grammar.classes.items() if c in ("insult", "threat")]
     common = toxic.where((F.col("word").isin(seeds)) | ((F.col("df1") >= MIN_TOXIC) & (F.col("contexts") >= MIN_CONTEXTS * F.col("df1"))))
     found = {r.word: r.df1 for r in common.select("word", "df1").collect()}
-    clean = words(0).where(F.col("word").isin(list(found))).groupBy("word").count() if found else None
-    df0 = {r["word"]: r["count"] for r in clean.collect()} if found else {}
+    # Seeds are counted in clean documents also if no toxic one has them.
+    clean = words(0).where(F.col("word").isin(sorted({*found, *seeds}))).groupBy("word").count()
+    df0 = {r["word"]: r["count"] for r in clean.collect()}
     for word, df1 in found.items():
         odds = np.log((df1 + 0.5) / (sizes[1] + 1)) - np.log((df0.get(word, 0) + 0.5) / (sizes[0] + 1))
         seen = df1 + df0.get(word, 0)

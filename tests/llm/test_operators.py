@@ -105,6 +105,15 @@ def test_toxicity_held_out(spark, sf_oracle, edges):
     assert toxicity.toxicity(edges.limit(0), labels).count() == 0
 
 
+def test_seeds_of_clean_documents_alone_count_nothing(spark):
+    rows = [(i, "we burn wood in the stove") if i % 2 else (i, f"you w{i} idiot") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i, _ in rows], "doc_id bigint, toxic int")
+    grammar = toxicity.learn(docs, labels)
+    assert grammar.weights["burn"] == 0 and grammar.evidence("they burn wood") == 0
+    assert grammar.weights["idiot"] > 0 and grammar.weights["kill"] == 2.0
+
+
 def test_held_out_rows(spark):
     rows = spark.createDataFrame([(i,) for i in range(50)], "doc_id bigint").select("doc_id", toxicity.held_out().alias("t"), langid.held_out().alias("l")).collect()
     for r in rows:
