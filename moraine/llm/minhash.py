@@ -250,21 +250,30 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     known = classes.select("words_key", "first_id", "node").join(groups, "node", "left").withColumn("group", F.coalesce("component", "node"))
     smallest = known.groupBy("group").agg(F.min("first_id").alias("component_id"))
-    known = known.join(smallest, "group").select("words_key", "component_id")
+    known = known.join(smallest, "group").select("words_key", "component_id", F.col("group").alias("group_id"))
     out = signed.select("doc_id", "n_shingles", "words_key", "text_key").join(known, "words_key", "left")
     out = out.withColumn("component_id", F.when(F.col("words_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_key")
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_key", "group_id")
 
 
 def kept_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that stay, with all their columns: of each group the row with the smallest doc_id.
+    """The rows of docs that stay, with all their columns: of each group one row with the smallest doc_id.
 
-    Rows without words are in no group and stay; repeated rows share their fate.
+    Rows without words are in no group and stay. Of rows that share the smallest
+    doc_id, or have none in a group of nulls, one stays, the text with the
+    smallest key.
     """
-    gone = near_duplicates(docs, k, percent).where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
+    work = Workspace(docs.sparkSession, "kept-documents")
+    rows = near_duplicates(docs, k, percent).where("group_id is not null")
+    rows = work.write(rows.groupBy("doc_id", "text_key", "group_id", "kept").agg(F.count("*").alias("n")), "rows")
+    first = rows.where("kept").groupBy("group_id").agg(F.min("text_key").alias("first_key"))
+    marked = rows.join(first, "group_id").withColumn("stays", F.col("kept") & (F.col("text_key") == F.col("first_key")))
+    keys = lambda which: marked.where(which).select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key"))
     same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("gone_id")) & (text_key(F.col("text").cast("string")) == F.col("gone_key"))
-    return docs.join(gone, same, "left_anti")
+    # Only rows that stand more than once are shuffled whole.
+    again = docs.join(keys("stays and n > 1"), same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return docs.join(keys("not stays or n > 1"), same, "left_anti").unionByName(again)
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85).drop("text_key")
+    return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85).drop("text_key", "group_id")

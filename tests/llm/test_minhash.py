@@ -59,3 +59,12 @@ def test_sketch_is_full_and_concentrated():
     a, b = minhash.shingles([b"w%d" % i for i in range(900)], 1), minhash.shingles([b"w%d" % i for i in range(100, 1000)], 1)
     assert abs((minhash.sketch(a) == minhash.sketch(b)).mean() - 0.8) < 0.15
     assert (minhash.sketch(a[:1]) > 0).all()
+
+
+def test_one_row_of_each_group_stays(spark):
+    text, other = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    rows = [(1, text), (1, text), (1, text.upper()), (2, text), (None, other), (None, other), (None, "alone among the null ids"), (3, None), (3, None), (4, ""), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    kept = [tuple(r) for r in minhash.kept_documents(docs).collect()]
+    assert sorted((d for d, _ in kept), key=str) == [1, 3, 3, 4, 4, None, None]
+    assert sum((t or "").lower() == text for _, t in kept) == 1 and sum(t == other for _, t in kept) == 1
