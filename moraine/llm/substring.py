@@ -12,14 +12,16 @@ its offsets in the original text.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moraine.llm.common import Workspace, table
+from moraine.llm.common import Workspace, fresh, map_texts, release, table
 
 #: Words of a sentence that ends a unit, and of a run of later occurrences that is removed (1: all are).
 MIN_SENTENCE, MIN_WORDS = 4, 1
@@ -45,31 +47,44 @@ def units(text: str) -> list[tuple[int, int, int, str]]:
     return out
 
 
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("digest", pa.binary()), ("i", pa.int32()), ("start", pa.int32()), ("size", pa.int32()), ("words", pa.int32())])
+#: Units that a task hands over at once.
+_AT_ONCE = 8_000
 
 
 def _units(docs: DataFrame) -> DataFrame:
-    """A row for each unit: its document (doc_id and t, a hash of the text), digest, number, offset, length and words."""
+    """A row for each unit: its document (doc_id and t, a hash of the text), digest (d1, d2), number, offset, length and words."""
+    narrow = {"t": "q", "d1": "q", "d2": "q", "i": "i", "start": "i", "size": "i", "words": "i"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, columns = [], [array(kind) for kind in narrow.values()]
+
         def made():
-            batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA)], schema=_SCHEMA)
+            arrays = [pa.array(np.frombuffer(c, f"i{c.itemsize}")) for c in map(array.__copy__, columns)]
+            batch = pa.RecordBatch.from_arrays([pa.concat_arrays(ids), *arrays], names=["doc_id", *narrow])
+            ids.clear()
             for c in columns:
-                c.clear()
+                del c[:]
             return batch
 
-        columns: list[list] = [[] for _ in _SCHEMA]
         for batch in batches:
-            for doc_id, text, t in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                for i, (a, b, n, normal) in enumerate(units(text.as_py())):
-                    for c, x in zip(columns, (doc_id, t, xxhash.xxh3_128_digest(normal.encode("utf-8", "replace")), i, a, b - a, n)):
-                        c.append(x)
-                if len(columns[0]) > 50_000:
-                    yield made()
-        yield made()
+            for doc_id, text, t in zip(batch.column(0), batch.column(1), batch.column(2)):
+                found, t = units(text.as_py()), t.as_py()
+                for at in range(0, len(found), _AT_ONCE):  # of a long text piece by piece
+                    some = found[at : at + _AT_ONCE]
+                    digests = b"".join([xxhash.xxh3_128_digest(u[3].encode("utf-8", "replace")) for u in some])
+                    both = array("q", digests)
+                    fields = [array("q", [t]) * len(some), both[::2], both[1::2], range(at, at + len(some)), [u[0] for u in some], [u[1] - u[0] for u in some], [u[2] for u in some]]
+                    ids.append(pa.repeat(doc_id, len(some)))
+                    for c, x in zip(columns, fields):
+                        c.extend(x)
+                    if len(columns[0]) >= _AT_ONCE:
+                        yield made()
+        if ids:
+            yield made()
+        release()
 
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string")).alias("t")).where("text is not null")
-    return rows.mapInArrow(run, "doc_id bigint, t bigint, digest binary, i int, start int, size int, words int")
+    return map_texts(rows, run, "doc_id bigint, t bigint, d1 bigint, d2 bigint, i int, start int, size int, words int")
 
 
 def _runs(grouped: DataFrame, min_words: int) -> DataFrame:
@@ -91,8 +106,9 @@ def _runs(grouped: DataFrame, min_words: int) -> DataFrame:
                 kept = [r for r in runs if r[3] >= min_words]
                 rows.append((doc_id, t, len(found), sum(r[4] for r in kept), sum(r[3] for r in kept), [{"start": r[1], "end": r[2]} for r in kept]))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+        release()
 
-    return grouped.mapInArrow(run, "doc_id bigint, t bigint, n_shared bigint, n_removed bigint, removed_words bigint, spans array<struct<start:int,end:int>>")
+    return map_texts(grouped, run, "doc_id bigint, t bigint, n_shared bigint, n_removed bigint, removed_words bigint, spans array<struct<start:int,end:int>>")
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -109,10 +125,12 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     work = Workspace(docs.sparkSession, "substring")
     cut = work.write(_units(docs), "units")
     rank = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "t", "start")
-    seen = cut.groupBy("digest").agg(F.count("*").alias("c"), F.min(rank).alias("first")).where("c > 1").select("digest", "first")
+    seen = cut.groupBy("d1", "d2").agg(F.count("*").alias("c"), F.min(rank).alias("first")).where("c > 1").select("d1", "d2", "first")
+    # Written, so that Spark can split the join at a digest that many units have.
+    seen = work.write(seen, "seen")
     later = ~rank.eqNullSafe(F.col("first"))
     unit = F.struct("i", "start", "size", "words", later.alias("later"))
-    found = cut.join(seen, "digest").groupBy("doc_id", "t").agg(F.collect_list(unit).alias("found"))
+    found = cut.join(seen, ["d1", "d2"]).groupBy("doc_id", "t").agg(F.collect_list(unit).alias("found"))
     found = _runs(found, min_words)
     sizes = cut.groupBy(F.col("doc_id").alias("d"), F.col("t").alias("dt")).agg((F.max("i") + 1).cast("bigint").alias("n_units"))
     both = sizes.join(found, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("dt") == F.col("t")), "left").drop("doc_id", "t")
@@ -124,26 +142,32 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The rows of docs with their repeated spans cut from text; rows whose text is removed whole have an empty one."""
-    spans = repeated_spans(docs, min_words).where(F.size("spans") > 0).select(F.col("doc_id").alias("span_id"), F.col("t").alias("span_t"), "spans").dropDuplicates(["span_id", "span_t"])
+    """The rows of docs with their repeated spans cut from text; rows whose text is removed whole have an empty one.
 
-    @F.pandas_udf("string")
-    def cut(texts, spans):
-        import pandas as pd
+    Null and empty texts stay as they are, rows with equal doc_id and text (also
+    with a null doc_id) are cut alike, an empty table gives no rows, and columns
+    of any name but doc_id and text are only carried.
+    """
+    name, key, cuts = fresh(docs.columns, "span_id", "span_t", "spans")
+    spans = repeated_spans(docs, min_words).where(F.size("spans") > 0).dropDuplicates(["doc_id", "t"]).select(F.col("doc_id").alias(name), F.col("t").alias(key), F.col("spans").alias(cuts))
 
+    @F.arrow_udf("string")
+    def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
         out = []
         for text, found in zip(texts, spans):
-            if found is not None and len(found):
+            text, found = text.as_py(), found.as_py()
+            if found:
                 at, parts = 0, []
                 for s in found:
                     parts.append(text[at : s["start"]])
                     at = s["end"]
                 text = "".join([*parts, text[at:]]).strip("\n")
             out.append(text)
-        return pd.Series(out, dtype=object)
+        return pa.array(out, pa.string())
 
-    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("span_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("span_t"))
-    return docs.join(spans, same, "left").withColumn("text", cut("text", "spans")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(name)) & (F.xxhash64(F.col("text").cast("string")) == F.col(key))
+    joined = docs.join(spans, same, "left")
+    return joined.withColumn("text", cut(F.col("text").cast("string"), F.col(cuts))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
