@@ -17,18 +17,19 @@ import os
 import re
 import struct
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moraine.llm.common import table, tokenizer_path
+from moraine.llm.common import map_texts, release, table, tokenizer_path
 
 #: Byte-level symbols up to which a pre-token is encoded in one piece.
 LEAF = 2048
 #: Runs of more UTF-8 bytes than this bypass the memo and are looked at for long pre-tokens.
 LONG_RUN = 4096
-#: Entries after which a memo is emptied. A worker keeps its memos for later tasks; much smaller ones double the time.
+#: Entries after which a memo is emptied; it is emptied after each task, too.
 MEMO = 300_000
 
 #: Runs whose pre-tokens follow from these patterns after lower-casing: ASCII and Latin letters that lower-case within the range.
@@ -112,28 +113,35 @@ class WordBpe:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as f:
-            self.spec = json.load(f)
-        if self.spec["decoder"] is not None or not self.spec["model"].get("end_of_word_suffix"):
+            spec = json.load(f)
+        if spec["decoder"] is not None or not spec["model"].get("end_of_word_suffix"):
             raise ValueError("a word-level vocabulary without a decoder is needed")
         self.long_run, self.leaf, self.most = long_run, leaf, memo
-        self.specials = {t["content"]: t["id"] for t in self.spec["added_tokens"]}
+        self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.ids: dict[bytes, bytes] = {}
-        self.texts: dict[bytes, bytes] = {}
-        self.pretokens: dict[str, tuple[bytes, bytes]] = {}
+        self.pretokens: dict[str, bytes] = {}
         self.pieces = [b""] * self.tokenizer.get_vocab_size(with_added_tokens=True)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.pieces[i] = token.encode()
-        self.final = [p.endswith(self.spec["model"]["end_of_word_suffix"].encode()) for p in self.pieces]
+        self.final = [p.endswith(spec["model"]["end_of_word_suffix"].encode()) for p in self.pieces]
+        self.path = path
         self._tree: TreeEncoder | None = None
 
     @property
     def tree(self) -> TreeEncoder:
         if self._tree is None:
-            self._tree = TreeEncoder(self.spec["model"], self.leaf)
+            with open(self.path, encoding="utf-8") as f:
+                self._tree = TreeEncoder(json.load(f)["model"], self.leaf)
         return self._tree
 
-    def _pack(self, ids: list[int]) -> tuple[bytes, bytes]:
-        return b"".join(i.to_bytes(4, "little") for i in ids), b" ".join([self.pieces[i] for i in ids])
+    def forget(self) -> None:
+        """Empties the memos."""
+        self.ids.clear()
+        self.pretokens.clear()
+
+    @staticmethod
+    def _pack(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _long(self, run: str) -> list[int]:
         """Ids of a long run: special strings first, then pre-token by pre-token."""
@@ -150,34 +158,29 @@ class WordBpe:
     def _plain(self, runs: list[tuple[bytes, str]]) -> None:
         """Learns runs in Latin letters by their pre-tokens."""
         cut = [_PRETOKEN.findall(run.lower()) for _, run in runs]
-        new = list(set().union(*cut).difference(self.pretokens))
+        every = set(chain.from_iterable(cut))
+        new = list(every.difference(self.pretokens))
         if len(self.pretokens) + len(new) > self.most:
             self.pretokens.clear()
-            new = list(set().union(*cut))
+            new = list(every)
         ids = self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids
         ends = [i for i, t in enumerate(ids, 1) if self.final[t]]
         if len(ends) != len(new):  # not cut as expected
             for pretoken in new:
                 self.pretokens[pretoken] = self._pack(self.tokenizer.encode(pretoken, add_special_tokens=False).ids)
         else:
-            packed, pieces, start = struct.pack(f"<{len(ids)}I", *ids), [self.pieces[t] for t in ids], 0
-            for pretoken, end in zip(new, ends):
-                self.pretokens[pretoken] = packed[4 * start : 4 * end], b" ".join(pieces[start:end])
-                start = end
-        get = self.pretokens.__getitem__
+            packed = self._pack(ids)
+            self.pretokens.update(zip(new, [packed[4 * a : 4 * b] for a, b in zip([0, *ends], ends)]))
+        get, known = self.pretokens.__getitem__, self.ids
         for (run, _), parts in zip(runs, cut):
-            if len(parts) == 1:
-                self.ids[run], self.texts[run] = get(parts[0])
-            else:
-                found = [get(p) for p in parts]
-                self.ids[run], self.texts[run] = b"".join([x for x, _ in found]), b" ".join([x for _, x in found])
+            known[run] = get(parts[0]) if len(parts) == 1 else b"".join(map(get, parts))
 
     def _learn(self, new: list[bytes]) -> None:
         plain, other = [], []
         for r in new:
             run = r.decode()
             if len(r) > self.long_run:
-                self.ids[r], self.texts[r] = self._pack(self._long(run))
+                self.ids[r] = self._pack(self._long(run))
             elif _LATIN.fullmatch(run) and "<|" not in run:
                 plain.append((r, run))
             else:
@@ -185,27 +188,30 @@ class WordBpe:
         if plain:
             self._plain(plain)
         for (r, _), e in zip(other, self.tokenizer.encode_batch_fast([x for _, x in other], add_special_tokens=False)):
-            self.ids[r], self.texts[r] = self._pack(e.ids)
+            self.ids[r] = self._pack(e.ids)
 
     def encode(self, text: str) -> tuple[bytes, bytes]:
         """Ids as little-endian unsigned 32-bit integers, and the decoded text in UTF-8."""
-        return self.encode_all([text])[0]
+        return list(self.encode_all([text]))[0]
 
-    def encode_all(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
-        """``encode`` of each text; what is new in any of them is learned together."""
+    def decode(self, ids: bytes) -> bytes:
+        return b" ".join(map(self.pieces.__getitem__, memoryview(ids).cast("I")))
+
+    def encode_all(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
+        """``encode`` of each text in turn; what is new in any of them is learned together."""
         cut = [text.encode("utf-8", "replace").split() for text in texts]
-        runs = set().union(*cut)
+        runs = set(chain.from_iterable(cut))
         new = list(runs.difference(self.ids))
         if len(self.ids) + len(new) > self.most:
             self.ids.clear()
-            self.texts.clear()
             new = list(runs)
         self._learn(new)
-        out = [(b"".join(map(self.ids.__getitem__, c)), b" ".join(filter(None, map(self.texts.__getitem__, c)))) for c in cut]
+        for c in cut:
+            ids = b"".join(map(self.ids.__getitem__, c))
+            yield ids, self.decode(ids)
         for r in new:
             if len(r) > self.long_run:
-                del self.ids[r], self.texts[r]
-        return out
+                del self.ids[r]
 
 
 #: Characters of the texts that are encoded together, or one text.
@@ -262,9 +268,10 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
                 for column, value in zip(columns, row):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
-        pa.default_memory_pool().release_unused()
+        bpe.forget()
+        release()
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, ddl)
+    return map_texts(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")), run, ddl)
 
 
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
