@@ -1,30 +1,36 @@
 """Operator 5: personal data by base patterns and bootstrapped contextual extraction.
 
 Base spans come from fixed patterns with checks, one kind at a time. They are
-the seeds of a bootstrapping: the words around a seed make lexical patterns
-(left words, right word), and other identifier-like tokens and runs of digit
-groups in the same contexts are candidate instances. Spark scores patterns and instances in turn on the
-pattern-instance graph, as weighted averages of each other with seeds held at 1
-for ``ROUNDS`` rounds; candidates of a pattern with enough support, distinct
-seeds and confidence become spans of its kind. Base spans always stay.
+the seeds of a bootstrapping: the words around a seed make lexical patterns (the
+two words before; the word before and the word after), and other identifier-like
+tokens and runs of digit groups in the same contexts are candidate instances.
+Spark scores patterns and instances in turn on the pattern-instance graph, as
+weighted averages of each other with seeds held at 1 for ``ROUNDS`` steps.
+Instances that score high enough in a pattern with enough support and confidence
+become seeds, whose contexts make patterns in turn, until no instance is new.
+Candidates of a high-confidence pattern become spans of its kind. Base spans
+always stay.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moraine.llm.common import Workspace, table
+from moraine.llm.common import Workspace, fresh, map_texts, release, small_batches, table
 
 KINDS = ("email", "ip", "card", "phone")
-#: Rounds of the graph, and what a pattern needs: distinct seeds, share of seeds among its instances by weight.
+#: Patterns up to which they are broadcast for redaction, about 100 bytes each.
+BROADCAST_PATTERNS = 200_000
+#: Steps of the graph, and what a pattern needs: distinct seeds, share of seeds among its instances by weight.
 ROUNDS, MIN_SEEDS, MIN_CONFIDENCE = 3, 3, 0.6
-#: Code points beyond which an instance stands as a digest, and digits that a candidate of another kind than email needs.
+#: Code points beyond which an instance or a word stands as a digest, and digits that a candidate of another kind than email needs.
 MOST_CHARS, MIN_DIGITS = 64, 6
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -33,10 +39,10 @@ _DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_CANDIDATE = re.compile(r"[^\s,;:!?\"'<>\[\]{}|=#*&$]+")
 _GROUPS = re.compile(r"[(\[]?[0-9]++(?:[ \u00a0.()\[\]\u2010-\u2015-]{1,3}[0-9]++)++")
 _EDGE = ".,;:!?\"'()<>[]{}|=#*&$"
-_WORD = re.compile(r"\S+")
+_TOKEN = re.compile(r"\S+")
+_WORD = re.compile(rf"[^\s{re.escape(_EDGE)}]+")
 
 
 def luhn(digits: str) -> bool:
@@ -98,22 +104,33 @@ def listed(spans) -> str:
     return ",".join(f"{kind}:{a}:{b}" for a, kind, b in spans)
 
 
-def _context(text: str, start: int, end: int) -> tuple[str, str, str]:
-    """The two words before and the word after a span, in lower case and without punctuation at their edges."""
-    left = [w.strip(_EDGE).lower()[:32] for w in text[max(0, start - 80) : start].split()]
-    left = [w for w in left if w][-2:]
-    right = next((w for w in (x.strip(_EDGE).lower()[:32] for x in text[end : end + 48].split()) if w), "")
-    left = [""] * (2 - len(left)) + left
-    return left[0], left[1], right
+def _instance(found: str) -> str:
+    return found if len(found) <= MOST_CHARS else hashlib.sha256(found.encode("utf-8", "replace")).hexdigest()
 
 
-def _shape(found: str) -> str:
-    """A token's shape: runs of digits as 9, of letters as a."""
-    return re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]+", "9", found))
+class _Contexts:
+    """The patterns of spans of a text: words in lower case, of any length and at any distance."""
 
+    def __init__(self, text: str):
+        self.text, found = text, [m.span() for m in _WORD.finditer(text)]
+        self.starts, self.ends = [a for a, _ in found], [b for _, b in found]
 
-def _instance(found: str) -> str:
-    return found if len(found) <= MOST_CHARS else hashlib.sha256(found.encode("utf-8", "replace")).hexdigest()
+    def _word(self, k: int) -> str:
+        return _instance(self.text[self.starts[k] : self.ends[k]].lower()) if 0 <= k < len(self.starts) else ""
+
+    def _piece(self, a: int, b: int) -> str:
+        """What is glued to a span; "+" for more than a word's worth."""
+        return self.text[a:b].lower() if b - a <= MOST_CHARS else "+"
+
+    def patterns(self, a: int, b: int) -> tuple[str, str]:
+        k = bisect_left(self.starts, a) - 1
+        if k >= 0 and self.ends[k] > a:
+            left = [self._word(k - 1), self._piece(self.starts[k], a)]
+        else:
+            left = [self._word(k - 1), self._word(k)]
+        k = bisect_right(self.ends, b)
+        right = self._piece(b, self.ends[k]) if k < len(self.ends) and self.starts[k] < b else self._word(k)
+        return f"L2 {left[0]} {left[1]}", f"LR {left[1]} {right}"
 
 
 def _grouped(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
@@ -132,33 +149,73 @@ def _grouped(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int
         free = max(free, y)
 
 
-def _instances(text: str, spans: list[tuple[int, str, int]]) -> list[tuple]:
-    """(start, end, kind or None, instance, pattern, pattern) of the seeds and the other identifier-like tokens."""
-    out = []
-    for a, kind, b in spans:
-        before, left, right = _context(text, a, b)
-        out.append((a, b, kind, _instance(text[a:b]), f"L2 {before} {left}", f"LR {left} {right}"))
+def _united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Disjoint spans over the same places, in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def candidates(text: str, spans: list[tuple[int, str, int]]) -> list[tuple[int, int]]:
+    """(start, end) of the identifier-like tokens and digit groups apart from the base spans."""
     if not _DIGIT.search(text) and "@" not in text:
-        return out
-    taken, k, ends = sorted((a, b) for a, _, b in spans), 0, set()
-    for m in re.finditer(r"\S*[0-9@]\S*", text):
+        return []
+    taken, found = _united([(a, b) for a, _, b in spans]), set()
+    ends = [b for _, b in taken]
+    for m in _TOKEN.finditer(text):
         token = m.group()
+        if not _DIGIT.search(token) and "@" not in token:
+            continue
+        word = token.strip(_EDGE)
         a = m.start() + len(token) - len(token.lstrip(_EDGE))
-        b = m.end() - (len(token) - len(token.rstrip(_EDGE)))
-        while k < len(taken) and taken[k][1] <= a:
-            k += 1
-        if b <= a or any(x < b and a < y for x, y in taken[k : k + 8]):
+        b = a + len(word)
+        k = bisect_right(ends, a)
+        if not word or k < len(taken) and taken[k][0] < b:
             continue
-        word = text[a:b]
         if "@" in word[1:-1] or sum(c in "0123456789" for c in word) >= MIN_DIGITS:
-            ends.add((a, b))
-    ends |= {(a, b) for a, b in _grouped(text, taken) if sum(c in "0123456789" for c in text[a:b]) >= MIN_DIGITS}
-    for a, b in sorted(ends):
-        before, left, right = _context(text, a, b)
-        out.append((a, b, None, _instance(text[a:b]), f"L2 {before} {left}", f"LR {left} {right}"))
+            found.add((a, b))
+    found |= {(a, b) for a, b in _grouped(text, taken) if sum(c in "0123456789" for c in text[a:b]) >= MIN_DIGITS}
+    return sorted(found)
+
+
+def _instances(text: str, spans: list[tuple[int, str, int]]) -> list[tuple]:
+    """(start, end, kind or None, instance, patterns) of the seeds and candidates."""
+    found = [(a, b, kind) for a, kind, b in spans] + [(a, b, None) for a, b in candidates(text, spans)]
+    if not found:
+        return []
+    contexts = _Contexts(text)
+    return [(a, b, kind, _instance(text[a:b]), contexts.patterns(a, b)) for a, b, kind in found]
+
+
+def outermost(added: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
+    """Those that lie in no longer one: a token within a run of groups is part of it."""
+    out, end = [], -1
+    for a, kind, b in sorted(added, key=lambda s: (s[0], -s[2])):
+        if b > end:
+            out.append((a, kind, b))
+            end = b
     return out
 
 
+def together(base: list[tuple[int, str, int]], added: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
+    """Base and added spans by start, then kind."""
+    return sorted([*base, *added], key=lambda s: (s[0], KINDS.index(s[1]), s[2]))
+
+
+def all_spans(text: str, patterns: dict[str, tuple[float, str]]) -> list[tuple[int, str, int]]:
+    """The base spans and those that the patterns (score and kind) add."""
+    base, added = base_spans(text), []
+    for a, b, kind, _, around in _instances(text, base):
+        found = [patterns[p] for p in around if p in patterns] if kind is None else []
+        if found:
+            added.append((a, min(found, key=lambda x: (-x[0], KINDS.index(x[1])))[1], b))
+    return together(base, outermost(added))
+
+
 _SCHEMA = pa.schema([
     ("doc_id", pa.int64()), ("t", pa.int64()), ("base", pa.string()), *[(f"n_{k}", pa.int64()) for k in KINDS], ("base_sha256", pa.string()),
     ("found", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("instance", pa.string()), ("patterns", pa.list_(pa.string()))]))),
@@ -174,90 +231,148 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans = base_spans(text)
             base = listed(spans)
             counts = [sum(k == kind for _, k, _ in spans) for kind in KINDS]
-            found = [{"start": a, "end": b, "kind": kind, "instance": word, "patterns": [p, q]} for a, b, kind, word, p, q in _instances(text, spans)]
+            found = [{"start": a, "end": b, "kind": kind, "instance": word, "patterns": list(around)} for a, b, kind, word, around in _instances(text, spans)]
             for c, x in zip(columns, (doc_id, t, base, *counts, hashlib.sha256(base.encode()).hexdigest(), found)):
                 c.append(x)
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA)], schema=_SCHEMA)
+    release()
 
 
 def discovered(found: DataFrame, work: Workspace, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """pattern, kind and score of the patterns that discover instances.
+    """pattern, kind and score of the patterns that discover instances, a row for each pattern.
 
     ``found`` has kind (null for candidates), instance and pattern. Seeds of one
-    kind are negative for the others.
+    kind are negative for the others. Instances of a confident pattern whose own
+    score reaches ``confidence`` become seeds of its kind, and the graph is scored
+    again, until none is new; there are no more turns than instances.
     """
-    edges = work.write(found.groupBy("pattern", "kind", "instance").agg(F.count("*").cast("double").alias("n")), "edges")
-    kinds = edges.where("kind is not null").select("pattern", F.col("kind").alias("of")).distinct()
-    # Per kind: edges from each pattern with a seed of the kind to all its instances.
-    graph = edges.join(kinds, "pattern").withColumn("weight", F.log1p("n"))
-    graph = graph.withColumn("seed", F.when(F.col("kind").isNull(), F.lit(None).cast("double")).otherwise((F.col("kind") == F.col("of")).cast("double")))
-    score = graph.withColumn("s", F.coalesce("seed", F.lit(0.0)))
-    for _ in range(rounds):
-        patterns = score.groupBy("pattern", "of").agg((F.sum(F.col("weight") * F.col("s")) / F.sum("weight")).alias("p"))
-        weighed = graph.join(patterns, ["pattern", "of"])
-        instances = weighed.where("seed is null").groupBy("instance", "of").agg((F.sum(F.col("weight") * F.col("p")) / F.sum("weight")).alias("i"))
-        score = work.write(weighed.join(instances, ["instance", "of"], "left").withColumn("s", F.coalesce("seed", "i", F.lit(0.0))).select("pattern", "of", "instance", "kind", "weight", "seed", "n", "s"), "scores")
-        graph = score.drop("s")
-    seeds = F.count_distinct(F.when(F.col("seed") == 1, F.col("instance")))
-    final = score.groupBy("pattern", "of").agg((F.sum(F.col("weight") * F.col("s")) / F.sum("weight")).alias("score"), seeds.alias("seeds"))
-    return final.where((F.col("seeds") >= min_seeds) & (F.col("score") >= confidence)).select("pattern", F.col("of").alias("kind"), "score")
+    edges = work.write(found.groupBy("pattern", "kind", "instance").agg(F.log1p(F.count("*")).alias("weight")), "edges")
+    size = edges.count()
+    bases = edges.where("kind is not null").select("instance", F.col("kind").alias("known")).distinct()
+    promoted = work.write(bases.limit(0), "promoted", 0)
+    order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("of"))
+    mean = lambda of: F.sum(F.col("weight") * F.col(of)) / F.sum("weight")
+    while True:
+        labelled = edges.join(promoted, "instance", "left").withColumn("kind", F.coalesce("kind", "known")).drop("known")
+        labelled = work.write(labelled, "labelled", size)
+        # Per kind: edges from each pattern with a seed of the kind to all its instances.
+        kinds = work.write(labelled.where("kind is not null").select("pattern", F.col("kind").alias("of")).distinct(), "kinds", size)
+        seed = F.when(F.col("kind").isNotNull(), (F.col("kind") == F.col("of")).cast("double"))
+        graph = work.write(labelled.join(kinds, "pattern").select("pattern", "of", "instance", "weight", seed.alias("seed")), "graph", size)
+        score = graph.withColumn("s", F.coalesce("seed", F.lit(0.0)))
+        for _ in range(rounds):
+            patterns = score.groupBy("pattern", "of").agg(mean("s").alias("p"))
+            instances = graph.where("seed is null").join(patterns, ["pattern", "of"]).groupBy("instance", "of").agg(mean("p").alias("i"))
+            score = graph.join(instances, ["instance", "of"], "left").withColumn("s", F.coalesce("seed", "i", F.lit(0.0))).drop("i")
+        score = work.write(score, "scores", size)
+        seeds = F.count_distinct(F.when(F.col("seed") == 1, F.col("instance")))
+        final = score.groupBy("pattern", "of").agg(mean("s").alias("score"), seeds.alias("seeds"))
+        final = work.write(final.where((F.col("seeds") >= min_seeds) & (F.col("score") >= confidence)).select("pattern", "of", "score"), "patterns", size)
+        new = score.where((F.col("seed").isNull()) & (F.col("s") >= confidence)).join(final.select("pattern", "of"), ["pattern", "of"], "left_semi")
+        new = new.groupBy("instance").agg(F.min_by("of", F.struct(-F.col("s"), order)).alias("known"))
+        new = work.write(new.unionByName(promoted), "promoted", size)
+        if new.count() == promoted.count():
+            return final.groupBy("pattern").agg(F.min_by(F.struct(F.col("of").alias("kind"), "score"), F.struct(-F.col("score"), order)).alias("best")).select("pattern", "best.*")
+        promoted = new
+
+
+def _scanned(docs: DataFrame, work: Workspace) -> DataFrame:
+    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string")).alias("t"))
+    return work.write(map_texts(rows, _scan, _DDL), "scanned")
+
+
+def _each(scanned: DataFrame) -> DataFrame:
+    each = scanned.where(F.size("found") > 0).select("doc_id", "t", F.explode("found").alias("f"))
+    return each.select("doc_id", "t", "f.start", "f.end", "f.kind", "f.instance", F.explode("f.patterns").alias("pattern"))
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """spans and n_added of rows with base and added spans."""
+    for batch in batches:
+        spans, n_added = [], []
+        for base, found in zip(batch.column("base").to_pylist(), batch.column("added").to_pylist()):
+            added = outermost([(x["start"], x["kind"], x["end"]) for x in found or ()])
+            known = [(int(a), kind, int(b)) for kind, a, b in (x.split(":") for x in base.split(",") if x)]
+            spans.append(listed(together(known, added)) if added else base)
+            n_added.append(len(added))
+        keep = [c for c in batch.schema.names if c not in ("base", "added")]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(spans, pa.string()), pa.array(n_added, pa.int64())], names=[*keep, "spans", "n_added"])
+    release()
 
 
 def personal_data(docs: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added and t, a row for each row of docs.
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, n_personal, has_personal_data and t, a row for each row of docs.
 
     The counts and the digest are of the base spans; spans lists base and added
-    spans as kind:start:end in code points, by start, then kind. Null texts
-    count as empty and have none. Rows with equal doc_id and text share their
-    added spans and keep a row each, also where doc_id is null. An empty table
-    gives no rows. Only doc_id and text are read; t is a hash of the text.
+    spans as kind:start:end in code points, by start, then kind; n_personal is
+    their number. Null and empty texts have none; texts of any length are read
+    whole. Rows with equal doc_id and text share their added spans and keep a row
+    each, also where doc_id is null. An empty table gives no rows. Only doc_id
+    and text are read, so other columns may have any name; t is a hash of the text.
     """
     work = Workspace(docs.sparkSession, "personal-data")
-    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string")).alias("t"))
-    scanned = work.write(rows.mapInArrow(_scan, _DDL), "scanned")
-    each = scanned.where(F.size("found") > 0).select("doc_id", "t", F.explode("found").alias("f")).select("doc_id", "t", "f.start", "f.end", "f.kind", "f.instance", F.explode("f.patterns").alias("pattern"))
-    patterns = discovered(each.select("pattern", "kind", "instance"), work, rounds, min_seeds, confidence)
-    added = each.where("kind is null").drop("kind").join(patterns, "pattern")
+    scanned = _scanned(docs, work)
+    each = _each(scanned)
+    patterns = work.write(discovered(each.select("pattern", "kind", "instance"), work, rounds, min_seeds, confidence), "found")
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
+    added = each.where("kind is null").drop("kind").join(patterns, "pattern")
     added = added.groupBy("doc_id", "t", "start", "end").agg(F.min_by("kind", F.struct(-F.col("score"), order)).alias("kind"))
-    added = added.groupBy("doc_id", "t").agg(F.collect_list(F.struct("start", "kind", "end")).alias("added"))
-    # A token within an added run of groups is part of it.
-    within = lambda s, o: (o["start"] <= s["start"]) & (o["end"] >= s["end"]) & (o["end"] - o["start"] > s["end"] - s["start"])
-    added = added.withColumn("added", F.filter("added", lambda s: ~F.exists("added", lambda o: within(s, o)))).select(F.col("doc_id").alias("a_id"), F.col("t").alias("a_t"), "added")
+    added = added.groupBy("doc_id", "t").agg(F.collect_list(F.struct("start", "kind", "end")).alias("added")).select(F.col("doc_id").alias("a_id"), F.col("t").alias("a_t"), "added")
+    added = work.write(added, "added")
+    work.only(scanned, added)
     both = scanned.drop("found").join(added, F.col("doc_id").eqNullSafe(F.col("a_id")) & (F.col("t") == F.col("a_t")), "left")
-    parsed = F.transform(F.split("base", ","), lambda x: F.struct(F.get(F.split(x, ":"), F.lit(1)).cast("int").alias("start"), F.get(F.split(x, ":"), F.lit(0)).alias("kind"), F.get(F.split(x, ":"), F.lit(2)).cast("int").alias("end")))
-    ranked = F.transform(F.concat(F.when(F.col("base") == "", F.array().cast("array<struct<start:int,kind:string,end:int>>")).otherwise(parsed), "added"), lambda s: F.struct(s["start"].alias("start"), F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).alias("k"), s["end"].alias("end"), s["kind"].alias("kind")))
-    text = F.array_join(F.transform(F.array_sort(ranked), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    spans = F.when(F.col("added").isNull(), F.col("base")).otherwise(text)
-    n_added = F.coalesce(F.size("added"), F.lit(0))
-    return both.select("doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", spans.alias("spans"), F.when(F.col("added").isNull(), 0).otherwise(n_added).cast("bigint").alias("n_added"), "t")
+    counts = [f"n_{k}" for k in KINDS]
+    both = both.select("doc_id", "t", "base", "added", *counts, "base_sha256")
+    ddl = "doc_id bigint, t bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_added bigint"
+    out = map_texts(both, _listed, ddl).withColumn("n_personal", sum((F.col(c) for c in counts), F.col("n_added")))
+    return out.select("doc_id", *counts, "base_sha256", "spans", "n_added", "n_personal", (F.col("n_personal") > 0).alias("has_personal_data"), "t")
 
 
-def redacted(text: str | None, spans: str | None) -> str | None:
+def redacted(text: str, spans: list[tuple[int, str, int]]) -> str:
     """The text with each span, or overlapping spans together, as [KIND]."""
-    if not text or not spans:
-        return text
     at, out = 0, []
-    for span in spans.split(","):
-        kind, a, b = span.split(":")
-        if int(a) >= at:
-            out += [text[at : int(a)], f"[{kind.upper()}]"]
-        at = max(at, int(b))
+    for a, kind, b in spans:
+        if a >= at:
+            out += [text[at:a], f"[{kind.upper()}]"]
+        at = max(at, b)
     return "".join([*out, text[at:]])
 
 
-def without_personal_data(docs: DataFrame) -> DataFrame:
-    """All rows and columns of docs, with personal data in text redacted."""
-    spans = personal_data(docs).where("spans <> ''").select(F.col("doc_id").alias("p_id"), F.col("t").alias("p_t"), "spans").dropDuplicates(["p_id", "p_t"])
-
-    @F.pandas_udf("string")
-    def cut(texts, spans):
-        import pandas as pd
+def without_personal_data(docs: DataFrame, most: int = BROADCAST_PATTERNS) -> DataFrame:
+    """All rows and columns of docs, with personal data in text redacted.
 
-        return pd.Series([redacted(t, s) for t, s in zip(texts, spans)], dtype=object)
-
-    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("p_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("p_t"))
-    return docs.join(spans, same, "left").withColumn("text", cut("text", "spans")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    Null and empty texts stay as they are; rows with equal text are redacted
+    alike, also where doc_id is null; an empty table gives no rows; columns of
+    any name but doc_id and text are only carried. Up to ``most`` patterns are
+    broadcast and the texts aren't shuffled; beyond that spans are joined to the
+    texts, with the same result.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    work = Workspace(spark, "redaction")
+    patterns = work.write(discovered(_each(_scanned(docs, work)).select("pattern", "kind", "instance"), work), "found")
+    if patterns.count() <= most:
+        known = spark.sparkContext.broadcast({r.pattern: (r.score, r.kind) for r in patterns.collect()})
+        work.clear()
+
+        @F.arrow_udf("string")
+        def cut(texts: pa.Array) -> pa.Array:
+            return pa.array([t if not t else redacted(t, all_spans(t, known.value)) for t in (x.as_py() for x in texts)], pa.string())
+
+        return docs.withColumn("text", cut(F.col("text").cast("string")))
+    work.clear()
+    name, key, cuts = fresh(docs.columns, "p_id", "p_t", "spans")
+    spans = personal_data(docs).where("n_personal > 0").dropDuplicates(["doc_id", "t"]).select(F.col("doc_id").alias(name), F.col("t").alias(key), F.col("spans").alias(cuts))
+
+    @F.arrow_udf("string")
+    def cut_at(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        out = []
+        for text, found in zip(texts.to_pylist(), spans.to_pylist()):
+            out.append(redacted(text, [(int(a), kind, int(b)) for kind, a, b in (x.split(":") for x in found.split(","))]) if found else text)
+        return pa.array(out, pa.string())
+
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(name)) & (F.xxhash64(F.col("text").cast("string")) == F.col(key))
+    return docs.join(spans, same, "left").withColumn("text", cut_at(F.col("text").cast("string"), F.col(cuts))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
