@@ -2,17 +2,21 @@
 
 import base64
 import hashlib
+import itertools
+import math
 import random
 import re
 import zlib
 
+import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from moraine.llm import decontaminate, langid, minhash, pii, quality, registry, substring, toxicity, warc
-from moraine.llm.common import table
+from moraine.llm import bpe, decontaminate, graph, langid, minhash, pii, quality, registry, substring, token_counts, toxicity, warc
+from moraine.llm.common import Workspace, table, tokenizer_path
 from tests.oracle import compare, connect
 
 EDGES = [(1, None), (2, ""), (3, "  \n\t "), (4, "one"), (4, "one"), (None, "null id here"), (None, "null id here"), (5, "word " * 30000), (6, "x" * 50000), (7, "\x00 tail \x0b end"), (8, "ÄÖ ß é 日本 ½")]
@@ -121,10 +125,50 @@ def test_held_out_rows(spark):
         assert (r.t, r.l) == (c % 5 == 0, c % 3 == 1)
 
 
+def brute_path(grammar, tokens):
+    """The best weight over every way through a clause, machine by machine and without their composition."""
+    machines, arcs = toxicity.parts(), grammar.lattice(tokens)
+
+    def best(i, states):
+        if i == len(tokens):
+            return 0.0 if all(m.ends(s) for m, s in zip(machines, states)) else None
+        found = []
+        for n, label, weight in arcs[i]:
+            for steps in itertools.product(*(m.step(s, label) for m, s in zip(machines, states))):
+                rest = best(i + n, tuple(s for _, s in steps))
+                if rest is not None:
+                    found.append(weight * math.prod(f for f, _ in steps) + rest)
+        return max(found, default=None)
+
+    return best(0, (0,) * len(machines))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from("idiot kill you not said will waste of space get lost watch your back \" the day".split()), max_size=9))
+def test_best_path_against_every_path(tokens):
+    grammar = toxicity.seed_grammar()
+    assert abs(grammar.clause(tokens) - brute_path(grammar, tokens)) < 1e-9
+
+
 def test_grammar_context():
     g = toxicity.seed_grammar()
     weight = g.evidence("you are an idiot")
     assert g.evidence("an idiot") < weight and g.evidence("you are not an idiot") < weight and g.evidence('he said "you idiot"') < weight and g.evidence("a fine day") == 0
+    assert g.evidence("kill you") == g.evidence("you kill") > g.evidence("kill the process") and g.evidence("I will hurt you") > g.evidence("I hurt you")
+    assert g.evidence("you waste of space") > g.evidence("waste of space") > g.evidence("waste of time") == 0
+    assert g.evidence("you idiot. " * 50) == 50 * g.evidence("you idiot.")
+
+
+def test_repeated_rows_keep_the_samples_bounded(spark):
+    rows = [(1, "en", "you idiot of the day")] * 2000 + [(i, "en" if i % 2 else "de", f"words of text {i} and more") for i in range(2, 60)] + [(1, "en", "another text of one id"), (1, "de", "and another")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, lang string, text string").repartition(4)
+    got = langid.sampled(docs, per_language=10).groupBy("lang").count().collect()
+    assert all(0 < r["count"] <= 10 for r in got)
+    assert len(langid.sampled(docs, per_language=10, most=7).collect()) <= 7
+    labels = spark.createDataFrame([(1, 1)] * 50 + [(i, i % 2) for i in range(1, 60)], "doc_id bigint, toxic int")
+    train = toxicity._training(docs, labels, 100).collect()
+    assert len(train) == len({r.doc_id for r in train}) and len(train) < 60
+    assert ids(toxicity.toxicity(docs, labels)) == sorted((d for d, _, _ in rows), key=str) == ids(langid.languages(docs))
 
 
 def test_language_held_out(spark, sf_oracle, edges):
@@ -136,6 +180,39 @@ def test_language_held_out(spark, sf_oracle, edges):
     assert langid.languages(edges.withColumn("lang", F.lit("en")).limit(0)).count() == 0
 
 
+def test_language_kernel_brute(spark):
+    """Kernel, landmarks and ridge regression from sets of n-grams, against the folded matrix."""
+    r, alphabets = random.Random(3), {"aa": "abcde fg", "bb": "defgh ij", "cc": "áéíóú bc"}
+    text = lambda lang: "".join(r.choice(alphabets[lang]) for _ in range(80))
+    train = [(lang, text(lang)) for lang in alphabets for _ in range(12)]
+    model = langid.fit([(lang, langid.present(t)) for lang, t in train], landmarks=5)
+    sets = lambda t: set(brute_grams(t))
+    kernel = lambda a, b: len(a & b) / math.sqrt(len(a) * len(b))
+    known = [(lang, sets(t)) for lang, t in train]
+    marks = [x for name in alphabets for x in [g for lang, g in known if lang == name][:5]]
+    values, vectors = np.linalg.eigh(np.array([[kernel(a, b) for b in marks] for a in marks]))
+    root = vectors / np.sqrt(values)
+    z = lambda g: np.append(np.array([kernel(g, m) for m in marks]) @ root, 1.0)
+    x, y = np.array([z(g) for _, g in known]), np.array([[1.0 if lang == name else -1.0 for name in alphabets] for lang, _ in known])
+    beta = np.linalg.solve(x.T @ x / 12 + langid.RIDGE * np.eye(x.shape[1]) / 3, x.T @ y / 12)
+    new = [text(lang) for lang in alphabets for _ in range(10)]
+    # The bias is the same for all languages' scores of a text only if they are alike; the model leaves it out.
+    want = [sorted(alphabets)[int(np.argmax(z(sets(t))[:-1] @ beta[:-1]))] for t in new]
+    assert model.predict(new)[0] == want and model.predict([None, "", "12 !?"]) == (["und"] * 3, [0.0] * 3)
+
+
+def brute_grams(text):
+    """The buckets of the n-grams of a text, one by one."""
+    points = [32 if ord(c) <= 32 or c in "0123456789" else ord(c) for c in " " + text.lower() + " "]
+    p, mask = 0x9E3779B97F4A7C15, (1 << 64) - 1
+    for n in (1, 2, 3):
+        for i in range(len(points) - n + 1):
+            h = points[i] * p & mask
+            for k in range(1, n):
+                h = ((h + k + 1) * p + points[i + k]) & mask
+            yield ((h ^ (h >> 29)) * p & mask) >> 49
+
+
 # --- personal data
 
 BASE = {
@@ -179,18 +256,62 @@ def test_bootstrapping_finds_unseen_identifiers(spark):
     assert texts[100] == "Please reach me by phone number [PHONE] today." and texts[0].count("[PHONE]") == 1
 
 
+def test_bootstrapping_in_two_hops(spark):
+    known = [(i, f"Please reach me by phone number +1 555 0{i}0 4{i}{i}7 today.") for i in range(8)]
+    both = [f"555-0199-44{i}1" for i in range(4)]
+    first = [(20 + i, f"Please reach me by phone number {x} today.") for i, x in enumerate(both)]
+    second = [(30 + i, f"The night hotline answers {x} always.") for i, x in enumerate(both)]
+    docs = spark.createDataFrame([*known, *first, *second, (99, "The night hotline answers 777-8888-123 always."), (98, "The order 777-8888-123 shipped.")], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in pii.personal_data(docs).collect()}
+    assert got[99].spans == "phone:26:38" and got[99].has_personal_data and got[98].n_personal == 0
+    for most in (pii.BROADCAST_PATTERNS, 0):
+        texts = {r.doc_id: r.text for r in pii.without_personal_data(docs, most).collect()}
+        assert texts[99] == "The night hotline answers [PHONE] always." and texts[98] == "The order 777-8888-123 shipped."
+
+
+def test_contexts_reach_any_distance():
+    text = "number" + " " * 500 + ": (" + " " * 300 + "555-0199-4471" + " " * 400 + "w" * 90
+    (a, b, kind, word, around), = pii._instances(text, [])
+    assert word == "555-0199-4471" and around[0] == "L2  number" and around[1].startswith("LR number ") and len(around[1]) == len("LR number ") + 64
+    assert pii.candidates("x" * 200_000 + " 1", []) == [] and len(pii.candidates("a" * 100_000 + "@" + "b" * 100_000, [])) == 1
+
+
 # --- substring
 
 
+def brute_units(text):
+    """Units character by character: they end at a line's end, and after a sentence mark and blanks if the last four words or more follow the mark before."""
+    begin = sentence = i = 0
+    while i <= len(text):
+        if i == len(text) or text[i] == "\n":
+            if text[begin:i].split():
+                yield begin, i, len(text[begin:i].split()), " ".join(text[begin:i].split()).lower()
+            begin = sentence = i = i + 1
+            continue
+        j = i
+        while j < len(text) and text[j] in ".!?":
+            j += 1
+        k = j
+        while j > i and k < len(text) and text[k] != "\n" and text[k].isspace():
+            k += 1
+        if k > j > i:
+            if len(text[sentence:k].split()) >= 4 or k == len(text) or text[k] == "\n":
+                if text[begin:k].split():
+                    yield begin, k, len(text[begin:k].split()), " ".join(text[begin:k].split()).lower()
+                begin = k
+            sentence = k
+        i = max(k, i + 1)
+
+
 def test_substring_brute(spark, edges):
     r = random.Random(5)
-    line = lambda: " ".join(r.choice("abcdefgh") * 2 for _ in range(r.randrange(1, 40)))
+    line = lambda: "".join(r.choice("abcdefgh") * 2 + r.choice([" ", " ", " ", ". ", "!? ", "  ", "."]) for _ in range(r.randrange(1, 40)))
     pool = [line() for _ in range(12)]
     docs = [(i, "\n".join(r.choice(pool) if r.random() < 0.5 else line() for _ in range(r.randrange(6)))) for i in range(40)] + [(50, None)]
     seen, want = set(), {}
     for d, t in sorted(docs):
         spans, run = [], None
-        for a, b, n, norm in substring.units(t or ""):
+        for a, b, n, norm in brute_units(t or ""):
             if norm in seen:
                 run = [run[0], b, run[2] + n] if run else [a, b, n]
             else:
@@ -242,6 +363,23 @@ def test_warc_ranges(spark, tmp_path):
     assert len(whole) == 120 and sorted(map(tuple, warc.read(archives, 97).collect())) == whole
 
 
+def test_warc_damage_is_an_error(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", f"<p>{i}" + "ab" * 200) for i in [*range(40), 7, 7]] + [(None, "u", "x")] * 2, "page_id bigint, url string, html string").coalesce(1)
+    archives = warc.write(pages, str(tmp_path / "w"))
+    path = archives.first().path.removeprefix("file:")
+    data = open(path, "rb").read()
+    starts = [m.start() for m in re.finditer(rb"\x1f\x8b\x08", data)]
+    names = re.findall(rb"WARC-Record-ID: (\S+)", b"".join(zlib.decompress(data[a:b], 31) for a, b in zip(starts, [*starts[1:], len(data)])))
+    assert archives.first().records == len(names) == len(set(names)) == 44
+    for place in (starts[0] + 1, starts[5] + 60, starts[20], starts[-1] + 30):
+        for size in (warc.RANGE, 300):
+            with open(path, "wb") as f:
+                f.write(data[:place] + bytes([data[place] ^ 0xFF]) + data[place + 1 :])
+            with pytest.raises(Exception, match="DamagedArchive"):
+                warc.read(archives, size).collect()
+            assert warc.read(archives, size, strict=False).count() == 43
+
+
 # --- quality
 
 
@@ -273,22 +411,56 @@ def test_quality_agrees_with_labels(spark, sf_oracle):
     assert sum(r.kept == (r.quality == 1) for r in both) >= 0.97 * len(both) > 0
 
 
-def test_quality_scores_whole_words_and_their_order(spark):
-    words = "understanding international communication requires considerable concentration".split() * 5
-    middle = [w[:3] + "qxzj" * ((len(w) - 6) // 4 + 1) + w[-3:] for w in words]
-    texts = [" ".join(words), " ".join(middle), " ".join(sorted(words))]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    labels = spark.createDataFrame([(0, 1)], "doc_id bigint, quality int")
-    score = {r.doc_id: r.score for r in quality.quality(docs, labels).collect()}
-    assert score[1] < score[0] - 0.5 and score[2] < score[0]
+def _long(value, seed):
+    return xxhash.xxh64_intdigest(value.to_bytes(8, "little", signed=True), seed=seed)
+
+
+def _signed(h):
+    return h - (1 << 64) if h >> 63 else h
+
+
+def brute_scores(rows, labels, spared, gram_counts=None):
+    """score and kept of each (doc_id, text), n-grams counted one by one."""
 
     def grams(text):
-        joined = " ".join(text.split())
-        return [tuple(joined[i : i + 3]) for i in range(len(joined) - 2)]
+        words = [_signed(xxhash.xxh64_intdigest(w.encode(), seed=42)) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+        return [h % quality.BUCKETS for h in words] + [_long(b, _long(a, 42)) % quality.BUCKETS for a, b in zip(words, words[1:])]
+
+    trusted = {d for d, q in labels if q == 1 and d is not None}
+    fitted = {d for d in trusted if _signed(xxhash.xxh64_intdigest(b"half", seed=_long(d, 42))) % 2 == 0}
+    raw, good = np.zeros(quality.BUCKETS), np.zeros(quality.BUCKETS)
+    for d, t in rows:
+        for g in grams(t):
+            raw[g] += 1
+            good[g] += d in fitted
+    log = lambda n: np.log(n + 0.5) - np.log(n.sum() + 0.5 * quality.BUCKETS)
+    w = log(good) - log(raw) if good.sum() else 0 * raw
+    score = [float(np.mean([w[g] for g in grams(t)])) if grams(t) else 0.0 for _, t in rows]
+    apart = [s for s, (d, t) in zip(score, rows) if d in trusted - fitted and not brute_quality(t)[5]]
+    least = np.percentile(apart, 100 * spared) if apart else -math.inf
+    return [(s, s >= least - 1e-9 and not brute_quality(t)[5]) for s, (_, t) in zip(score, rows)]
+
+
+@pytest.mark.parametrize("spared", [quality.SPARED, 0.2])
+def test_quality_scores_brute(spark, sf_small, spared):
+    rows = [tuple(x) for x in table(spark, sf_small, "documents").select("doc_id", "text").collect()] + EDGES
+    labels = [(r.doc_id, r.quality) for r in table(spark, sf_small, "labels").collect()] + [(5, None), (None, 1), (6, 1), (6, 1)]
+    docs, known = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5), spark.createDataFrame(labels, "doc_id bigint, quality int")
+    got = sorted(((r.doc_id, r.n_words, r.score, r.kept) for r in quality.quality(docs, known, spared).collect()), key=repr)
+    want = sorted(((d, brute_quality(t)[0], s, k) for (d, t), (s, k) in zip(rows, brute_scores(rows, labels, spared))), key=repr)
+    assert len({k for *_, k in want}) == 2
+    for g, w in zip(got, want):
+        assert g[:2] == w[:2] and abs(g[2] - w[2]) < 1e-6 and g[3] == w[3]
 
-    rows = spark.createDataFrame([(t,) for t in [*texts, "", "a", " ab ", "é 日 a  b\n"]], "text string")
-    for r in rows.select("text", quality.words().alias("words")).select("text", quality._grams().alias("g")).collect():
-        assert [tuple(g) for g in r.g] == grams(r.text)
+
+def test_quality_scores_whole_words_and_their_order(spark):
+    words = "understanding international communication requires considerable concentration always".split() * 5
+    middle = [w[:3] + "qxzj" * ((len(w) - 6) // 4 + 1) + w[-3:] for w in words]
+    shuffled = random.Random(1).sample(words, len(words))
+    docs = spark.createDataFrame([(i, " ".join(words)) for i in range(6)] + [(10, " ".join(middle)), (11, " ".join(shuffled))], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(6)], "doc_id bigint, quality int")
+    score = {r.doc_id: r.score for r in quality.quality(docs, labels).collect()}
+    assert score[10] < score[11] - 0.1 and score[11] < score[0] - 0.05
 
 
 # --- near-duplicates
@@ -298,3 +470,67 @@ def test_near_duplicates_edges(spark, edges):
     assert ids(minhash.near_duplicates(edges)) == EDGE_IDS
     kept = minhash.kept_documents(edges)
     assert kept.columns == edges.columns
+
+
+def test_components_by_stars_and_in_one_task(spark):
+    r = random.Random(4)
+    edges = [(r.randrange(60), r.randrange(60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(20)] + [(200, i) for i in range(201, 230)]
+    frame, work = spark.createDataFrame(edges, "u bigint, v bigint"), Workspace(spark, "test")
+    got = [sorted(map(tuple, graph.components(frame, work, local).collect())) for local in (0, 20, 10**6)]
+    least = {n: n for e in edges if e[0] != e[1] for n in e}
+    for _ in least:
+        for a, b in edges:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    assert got[0] == got[1] == got[2] == sorted(least.items())
+    assert graph.components(frame.limit(0), work).count() == 0
+
+
+# --- names of other columns, and tables of odd rows
+
+CLASHES = "spans hit_id hit_key gone_id gone_key p_id p_t span_id span_t n_tokens ids row node keys h n t w words text_key score lang_pred base added of".split()
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    """The edge rows under extra columns that have the operators' own names."""
+    rows = [(d, t, *range(len(CLASHES))) for d, t in EDGES]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, " + ", ".join(f"{c} bigint" for c in CLASHES)).repartition(3)
+
+
+def _operators(spark):
+    labels = spark.createDataFrame([(4, 1, 1), (5, 0, 0), (None, 1, 1)], "doc_id bigint, quality int, toxic int")
+    items = spark.createDataFrame([(1, "null id"), (2, None)], "item_id bigint, text string")
+    return {
+        "op1": lambda d: token_counts.token_counts(d, tokenizer_path("byte_bpe_50k.json")),
+        "op2": lambda d: decontaminate.decontaminated(d, items),
+        "op3": lambda d: toxicity.toxicity(d, labels),
+        "op4": lambda d: minhash.near_duplicates(d),
+        "op5": lambda d: pii.personal_data(d),
+        "op6": lambda d: langid.languages(d.withColumn("lang", F.lit("en"))),
+        "op7": lambda d: bpe.encode_documents(d, tokenizer_path("word_bpe_49k.json")),
+        "op8": lambda d: substring.repeated_spans(d),
+        "op9": lambda d: warc.round_trip(d.select(F.col("doc_id").alias("page_id"), F.col("text").alias("html"), F.lit("u").alias("url"), *CLASHES)).withColumnRenamed("page_id", "doc_id"),
+        "op10": lambda d: quality.quality(d, labels),
+        "redaction": lambda d: pii.without_personal_data(d),
+        "redaction by join": lambda d: pii.without_personal_data(d, 0),
+        "repeats": lambda d: substring.without_repeats(d),
+        "spans": lambda d: decontaminate.without_spans(d, items),
+    }
+
+
+@pytest.mark.parametrize("name", ["op1", "op2", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10", "redaction", "redaction by join", "repeats", "spans"])
+def test_odd_rows_and_clashing_columns(spark, clashing, name):
+    run = _operators(spark)[name]
+    got = run(clashing)
+    assert ids(got) == EDGE_IDS
+    if not name.startswith("op"):
+        assert got.columns == clashing.columns
+    assert run(clashing.limit(0)).count() == 0
+
+
+def test_kept_and_clean_with_clashing_columns(spark, clashing):
+    kept, items = minhash.kept_documents(clashing), spark.createDataFrame([(1, "null id")], "item_id bigint, text string")
+    assert kept.columns == clashing.columns and ids(kept) == sorted((d for d in [None, 1, 2, 3, 4, 5, 6, 7, 8]), key=str)
+    clean = decontaminate.clean_documents(clashing, items)
+    assert clean.columns == clashing.columns and ids(clean) == sorted((d for d, _ in EDGES if d is not None), key=str)

@@ -30,3 +30,21 @@ def test_stages(spark, sf_oracle):
     assert all(r.n_tokens == len(word.encode(texts[r.doc_id] or "", add_special_tokens=False).ids) for r in last)
     got = sorted(map(tuple, corpus_pipeline.run(spark, sf_oracle).collect()))
     assert got == sorted(map(tuple, last))
+
+
+CLASHES = "spans hit_id hit_key gone_id gone_key p_id p_t span_id span_t n_tokens row node keys h t words text_key score".split()
+ROWS = [(1, None), (2, ""), (3, " \n "), (4, "one two three four five six"), (4, "one two three four five six"), (5, "One two three four FIVE six"), (None, "a null id"), (None, "a null id"), (6, "word " * 40_000), (7, "mail a@b.org now")]
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_odd_rows_and_clashing_columns(spark, sf_small, name, stage):
+    docs = spark.createDataFrame([(d, t, *range(len(CLASHES))) for d, t in ROWS], "doc_id bigint, text string, " + ", ".join(f"{c} int" for c in CLASHES)).repartition(3)
+    got = stage(spark, docs, sf_small)
+    left = sorted((r.doc_id for r in got.collect()), key=str)
+    once = name == "near_duplicates"  # one row of each group stays
+    assert left == sorted([1, 2, 3, 4, 6, 7, None] if once else [d for d, _ in ROWS], key=str)
+    if name != "encoding":
+        assert got.columns == docs.columns
+    if name == "personal_data":
+        assert {r.text for r in got.collect() if r.doc_id == 7} == {"mail [EMAIL] now"}
+    assert stage(spark, docs.limit(0), sf_small).count() == 0

@@ -52,7 +52,7 @@ def Tokenizer_kept(kept=[]):
 
 
 def test_count_rows(spark, sf_small):
-    docs = spark.createDataFrame(SPECIAL_ROWS, "doc_id bigint, text string").withColumnRenamed("extra", "n_tokens")
+    docs = spark.createDataFrame(SPECIAL_ROWS, "doc_id bigint, text string").selectExpr("*", "1 as n_tokens", "'x' as ids", "2 as n_bytes")
     got = sorted(map(tuple, token_counts.token_counts(docs, BYTE).collect()), key=repr)
     n = [len(Tokenizer_kept().encode(t or "", add_special_tokens=False).ids) for _, t in SPECIAL_ROWS]
     assert got == sorted([(d, len((t or "").encode()), k, k > 512) for (d, t), k in zip(SPECIAL_ROWS, n)], key=repr)
