@@ -16,24 +16,27 @@ def tokens(text: Column, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
     return F.filter(clean, lambda w: (w != "") & ~w.isin(*stopwords))
 
 
-def weights(docs: DataFrame, by: str, text: str = "text") -> DataFrame:
+def weights(docs: DataFrame, by: str, text: str = "text", stopwords: tuple[str, ...] = STOPWORDS) -> DataFrame:
     """by, token and n: how often each token occurs in each text."""
-    return docs.select(by, F.explode(tokens(F.col(text))).alias("token")).groupBy(by, "token").agg(F.count("*").alias("n"))
+    return docs.select(by, F.explode(tokens(F.col(text), stopwords)).alias("token")).groupBy(by, "token").agg(F.count("*").alias("n"))
 
 
-def fingerprints(docs: DataFrame, by: str, text: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, by: str, text: str = "text", stopwords: tuple[str, ...] = STOPWORDS) -> DataFrame:
     """by, fp_hi and fp_lo: the halves of the 64-bit fingerprint; 0 without tokens. One row for each value of by.
 
     A bit is set iff the tokens that have it outnumber those that don't. The
     sums combine on the map side, so a long text is no single task's work.
     """
-    each = docs.select(by, F.explode_outer(tokens(F.col(text))).alias("token")).withColumn("_d", F.md5(F.col("token").cast("binary")))
-    half = lambda at: F.conv(F.substring("_d", at, 8), 16, 10).cast("bigint")
-    each = each.select(by, half(1).alias("hi"), half(9).alias("lo"))
-    sums = [F.sum(F.when(F.col(h).bitwiseAND(F.lit(1 << i)) != 0, 1).when(F.col(h).isNotNull(), -1).otherwise(0)).alias(f"{h}{i}") for h in ("hi", "lo") for i in range(32)]
-    summed = each.groupBy(by).agg(*sums)
-    packed = lambda h: sum((F.when(F.col(f"{h}{i}") > 0, F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint") for i in range(32)), F.lit(0).cast("bigint"))
-    return summed.select(by, packed("hi").alias("fp_hi"), packed("lo").alias("fp_lo"))
+    each = docs.select(by, F.posexplode_outer(tokens(F.col(text), stopwords)).alias("_at", "_token"))
+    each = each.select(by, F.shiftright("_at", 20).alias("_block"), F.conv(F.substring(F.md5(F.col("_token").cast("binary")), 1, 16), 16, -10).cast("bigint").alias("_h"))
+    # Three counters in a number: 22 sums in place of 64. A block of 2**20 tokens can't overflow 21 bits.
+    bits = [range(j, min(j + 3, 64)) for j in range(0, 64, 3)]
+    packed = [sum((F.shiftleft(F.shiftright("_h", i).bitwiseAND(F.lit(1)), 21 * k) for k, i in enumerate(some)), F.lit(0).cast("bigint")) for some in bits]
+    blocks = each.groupBy(by, "_block").agg(F.count("_h").alias("_n"), *[F.coalesce(F.sum(x), F.lit(0)).alias(f"_p{j}") for j, x in enumerate(packed)])
+    count = lambda i: F.shiftright(f"_p{i // 3}", 21 * (i % 3)).bitwiseAND(F.lit((1 << 21) - 1))
+    summed = blocks.groupBy(by).agg(F.sum("_n").alias("_n"), *[F.sum(count(i)).alias(f"_c{i}") for i in range(64)])
+    half = lambda at: sum((F.when(2 * F.col(f"_c{at + i}") > F.col("_n"), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint") for i in range(32)), F.lit(0).cast("bigint"))
+    return summed.select(by, half(32).alias("fp_hi"), half(0).alias("fp_lo"))
 
 
 def hamming(hi_a: Column, lo_a: Column, hi_b: Column, lo_b: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from moraine.operators import ordered
+
 THRESHOLD, LEVELS = 20, 5
 
 
@@ -32,9 +34,16 @@ def catalog(log: DataFrame) -> DataFrame:
 
 
 def missing_segments(segments: DataFrame) -> DataFrame:
-    """Segment numbers below the largest that are missing."""
-    every = segments.agg(F.max("segment").alias("top")).select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("top").cast("bigint"))).alias("segment"))
-    return every.join(segments.select(F.col("segment").cast("bigint").alias("segment")).distinct(), "segment", "left_anti")
+    """Segment numbers below the largest that are missing.
+
+    Numbers are dealt in ranges and only what lies between neighbours is made,
+    a gap at a time.
+    """
+    present = ordered.numbered(segments.select(F.col("segment").cast("bigint").alias("segment")).where("segment >= 0").distinct(), ["segment"])
+    later = present.select((F.col("rn") - 1).alias("rn"), F.col("segment").alias("end"))
+    first = present.where("rn = 1").select(F.lit(0).cast("bigint").alias("start"), F.col("segment").alias("end"))
+    gaps = present.join(later, "rn").select((F.col("segment") + 1).alias("start"), "end").unionByName(first).where("start < end")
+    return gaps.select(F.explode(F.sequence("start", F.col("end") - 1)).alias("segment"))
 
 
 def next_segment(segments: DataFrame) -> DataFrame:

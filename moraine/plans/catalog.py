@@ -12,7 +12,10 @@ from moraine.functions.sketches import Bloom, CountMin, HyperLogLog
 from moraine.functions.hashing import hash60_sql
 from moraine.operators import blocks, folds, levels, merkle, ordered, scan, versions
 from moraine.plans import commands
-from moraine.sources.kvlog import event_log, name_keys, table
+from moraine.sources import frames
+from moraine.sources.config import Config
+from moraine.sources.kvlog import event_log, name_keys, table, temporary
+from moraine.sources.store import RunStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -91,10 +94,10 @@ select key, case when starts_with(key, 'bf_') then 'bloom' when starts_with(key,
 
 
 def _mutated(spark: SparkSession, d: str) -> DataFrame:
-    """The log after every signup user was put again and every purchaser then deleted, later than all events."""
+    """The log after every signup user was put again and every key whose newest event is a purchase then deleted, later than all events."""
     log = event_log(spark, d)
     again = log.where("event_type = 'signup'").groupBy("key").agg(F.max("seq").alias("seq")).select(F.lit(4_000_000_000_000_000).alias("ts"), "seq", "key", F.lit("put").alias("event_type"), F.lit(1.0).alias("value"))
-    gone = log.where("event_type = 'purchase'").groupBy("key").agg(F.max("seq").alias("seq")).select("key", F.lit(4_000_000_000_000_001).alias("ts"), "seq")
+    gone = versions.latest(log).where("event_type = 'purchase'").select("key", F.lit(4_000_000_000_000_001).alias("ts"), "seq")
     return versions.delete(versions.put(log, again), gone)
 
 
@@ -102,7 +105,7 @@ register(
     "kv_put_delete",
     lambda s, d: _current(versions.current(_mutated(s, d))),
     f"""with {LOG_SQL},
-p as (select distinct key from log where event_type = 'purchase'),
+p as (select key from ranked where rn = 1 and event_type = 'purchase'),
 g as (select key, max(seq) as seq from log where event_type = 'signup' group by key)
 select 4000000000000000 as ts, seq, key, 'put' as event_type, 1.0::double as value from g where key not in (from p)
 union all select * from cur where key not in (from p) and key not in (select key from g)""",
@@ -122,7 +125,28 @@ register(
     lambda s, d: _current(versions.all_live_versions(event_log(s, d))),
     f"with {LOG_SQL} select ts, seq, key, event_type, value from log where not is_tombstone and key not in (select key from ranked where rn = 1 and is_tombstone)",
 )
-register("kv_wal_replay", lambda s, d: versions.latest(event_log(s, d)).select("key", "ts", "seq", "is_tombstone"), f"with {LOG_SQL} select key, ts, seq, is_tombstone from ranked where rn = 1")
+
+
+def _wal_replay(spark: SparkSession, d: str) -> DataFrame:
+    """The newest versions after the log was written as binary segments, a shard for each event type and part of the keys, and read back."""
+    folder, log = temporary(spark, "wal"), _sharded(event_log(spark, d))
+    log = log.withColumn("frame", blocks.frame_bytes(value="event_type"))
+    packed = folds.wal_segments(log, "shard", ["ts", "seq"], "frame", 20_000).select("shard", "segment", "ts", "seq", "key", F.col("event_type").alias("value"), "is_tombstone")
+    frames.write_segments(packed, folder, 20_000, 20).write.parquet(f"{folder}-written")
+    return versions.latest(frames.read_segments(spark, folder, 20)).select("key", "ts", "seq", "is_tombstone", F.col("value").cast("string").alias("value"))
+
+
+#: Shards of ordered folds over the log for each event type.
+SHARDS = 16
+
+
+def _sharded(log: DataFrame) -> DataFrame:
+    """Adds shard: an event type and a number of SHARDS by a key's bytes, so folds spread over more tasks than types."""
+    return log.withColumn("shard", F.concat("event_type", F.lit("-"), F.pmod(F.regexp_extract("key", "[0-9]+", 0).cast("bigint"), F.lit(SHARDS)).cast("string")))
+
+
+SHARD_SQL = f"event_type || '-' || (cast(regexp_extract(key, '[0-9]+') as bigint) % {SHARDS})"
+register("kv_wal_replay", _wal_replay, f"with {LOG_SQL} select key, ts, seq, is_tombstone, case when not is_tombstone then event_type end as value from ranked where rn = 1")
 
 
 def _runs(spark: SparkSession, d: str) -> DataFrame:
@@ -157,8 +181,9 @@ max(key) as last_key, max(ts) as newest from runs group by run""",
 )
 register(
     "wal_segment_gaps",
-    lambda s, d: levels.missing_segments(table(s, d, "events").where("event_type <> 'view'").select(F.col("user_id").alias("segment"))),
-    "select unnest(range(0, (select max(user_id) from events where event_type <> 'view') + 1)) as segment except select user_id from events where event_type <> 'view'",
+    lambda s, d: levels.missing_segments(table(s, d, "orders").where("o_orderkey % 7 <> 3 and o_orderkey > 2").select(F.col("o_orderkey").alias("segment"))),
+    """with k as (select o_orderkey as k from orders where o_orderkey % 7 <> 3 and o_orderkey > 2)
+select unnest(range(0, (select max(k) from k))) as segment except select k from k""",
 )
 register("wal_next_segment", lambda s, d: levels.next_segment(table(s, d, "events").select(F.col("user_id").alias("segment"))), "select max(user_id) + 1 as next_segment from events")
 register(
@@ -177,6 +202,27 @@ register(
     f"with {LOG_SQL} select key, row_number() over (order by key) as rn from cur",
 )
 
+
+
+def _stored(spark: SparkSession, d: str) -> RunStore:
+    """The log in a store of runs, a run for each quarter of it, not merged."""
+    store = RunStore(spark, temporary(spark, "store"), "ts bigint, seq bigint, key string, event_type string, value double, is_tombstone boolean", Config(level_threshold=20))
+    store.init()
+    log = event_log(spark, d)
+    for quarter in range(4):
+        store.add(log.where(F.pmod("seq", F.lit(4)) == quarter).withColumnRenamed("value", "v").select("ts", "seq", "key", "event_type", F.col("v").cast("double").alias("value"), "is_tombstone"), quarter)
+    return store
+
+
+QUARTERS_SQL = f"""{LOG_SQL}, q as (select *, row_number() over (partition by seq % 4, key order by ts desc, seq desc) as r4 from log)"""
+register(
+    "run_metadata",
+    lambda s, d: _stored(s, d).metadata().drop("root"),
+    f"with {QUARTERS_SQL} select cast(0 as integer) as level, cast(seq % 4 as integer) as run, min(key) as first_key, max(key) as last_key, count(*) as n, count(*) as leaves from q where r4 = 1 group by seq % 4",
+)
+register("store_get", lambda s, d: _current(_stored(s, d).get("user_3")), f"with {LOG_SQL} select * from cur where key = 'user_3'")
+register("store_range_scan", lambda s, d: _current(_stored(s, d).range_scan("user_12", "user_3")), f"with {LOG_SQL} select * from cur where key between 'user_12' and 'user_3'")
+
 # --- blocks and index --------------------------------------------------------------------------------------------------
 
 FRAME_SQL = "8 + 4 + 16 + 8 + strlen(key) + 1"
@@ -456,39 +502,52 @@ register(
 )
 register(
     "lru_hits",
-    lambda s, d: folds.lru(event_log(s, d).select("event_type", "ts", "seq", "key"), "event_type", ["ts", "seq"], "key", 20).select("seq", "hit"),
-    f"""with {LOG_SQL}, a as (select event_type, seq, key, row_number() over (partition by event_type order by ts, seq) as n from log),
-p as (select *, lag(n) over (partition by event_type, key order by n) as before from a)
-select seq, before is not null and (select count(distinct q.key) from a q where q.event_type = p.event_type and q.n > p.before and q.n < p.n) < 20 as hit from p""",
+    lambda s, d: folds.lru(_sharded(event_log(s, d)).select("shard", "ts", "seq", "key"), "shard", ["ts", "seq"], "key", 4).select("seq", "hit", "evicted"),
+    f"""with recursive {LOG_SQL}, a as (select {SHARD_SQL} as shard, seq, key, row_number() over (partition by {SHARD_SQL} order by ts, seq) as n from log),
+fold as (select shard, seq, n, false as hit, cast(null as varchar) as evicted, [key] as held from a where n = 1
+  union all
+  select a.shard, a.seq, a.n, list_contains(held, a.key), case when not list_contains(held, a.key) and len(held) >= 4 then held[1] end,
+    list_append(list_filter(case when not list_contains(held, a.key) and len(held) >= 4 then held[2:] else held end, lambda x: x <> a.key), a.key)
+  from fold join a on a.shard = fold.shard and a.n = fold.n + 1)
+select seq, hit, evicted from fold""",
 )
 register(
     "wal_segments",
     lambda s, d: folds.wal_segments(
-        event_log(s, d).select("event_type", "ts", "seq", blocks.frame_bytes(value="event_type").alias("frame")), "event_type", ["ts", "seq"], "frame", 20_000
+        _sharded(event_log(s, d)).select("shard", "ts", "seq", blocks.frame_bytes(value="event_type").alias("frame")), "shard", ["ts", "seq"], "frame", 2_000
     ).select("seq", "segment", "used"),
-    f"""with recursive {LOG_SQL}, f as (select event_type, seq, cast({FRAME_SQL} + case when is_tombstone then 0 else 8 + strlen(event_type) end as bigint) as frame,
-  row_number() over (partition by event_type order by ts, seq) as n from log),
-fold as (select event_type, seq, n, cast(0 as bigint) as segment, frame as used from f where n = 1
-  union all select f.event_type, f.seq, f.n, case when used + frame > 20000 then segment + 1 else segment end, case when used + frame > 20000 then frame else used + frame end
-  from fold join f on f.event_type = fold.event_type and f.n = fold.n + 1)
+    f"""with recursive {LOG_SQL}, f as (select {SHARD_SQL} as shard, seq, cast({FRAME_SQL} + case when is_tombstone then 0 else 8 + strlen(event_type) end as bigint) as frame,
+  row_number() over (partition by {SHARD_SQL} order by ts, seq) as n from log),
+fold as (select shard, seq, n, cast(0 as bigint) as segment, frame as used from f where n = 1
+  union all select f.shard, f.seq, f.n, case when used + frame > 2000 then segment + 1 else segment end, case when used + frame > 2000 then frame else used + frame end
+  from fold join f on f.shard = fold.shard and f.n = fold.n + 1)
 select seq, segment, used from fold""",
 )
 register(
     "memtable_flush_runs",
-    lambda s, d: folds.flush_runs(event_log(s, d).select("event_type", "ts", "seq", "key"), "event_type", ["ts", "seq"], "key", 50).groupBy("event_type", "run").agg(F.count("*").alias("mutations"), F.max("held").alias("keys"), F.max("seq").alias("last_seq")),
-    f"""with recursive {LOG_SQL}, o as (select event_type, seq, key, row_number() over (partition by event_type order by ts, seq) as n from log),
-fold as (select event_type, seq, n, cast(0 as bigint) as run, [key] as held from o where n = 1
-  union all select o.event_type, o.seq, o.n, case when len(held) >= 50 then run + 1 else run end,
-    case when len(held) >= 50 then [o.key] when list_contains(held, o.key) then held else list_append(held, o.key) end
-  from fold join o on o.event_type = fold.event_type and o.n = fold.n + 1)
-select event_type, run, count(*) as mutations, cast(max(len(held)) as bigint) as keys, max(seq) as last_seq from fold group by event_type, run""",
+    lambda s, d: folds.flush_runs(_sharded(event_log(s, d)).select("shard", "ts", "seq", "key"), "shard", ["ts", "seq"], "key", 5).groupBy("shard", "run").agg(F.count("*").alias("mutations"), F.max("held").alias("keys"), F.max("seq").alias("last_seq")),
+    f"""with recursive {LOG_SQL}, o as (select {SHARD_SQL} as shard, seq, key, row_number() over (partition by {SHARD_SQL} order by ts, seq) as n from log),
+fold as (select shard, seq, n, cast(0 as bigint) as run, [key] as held from o where n = 1
+  union all select o.shard, o.seq, o.n, case when len(held) >= 5 then run + 1 else run end,
+    case when len(held) >= 5 then [o.key] when list_contains(held, o.key) then held else list_append(held, o.key) end
+  from fold join o on o.shard = fold.shard and o.n = fold.n + 1)
+select shard, run, count(*) as mutations, cast(max(len(held)) as bigint) as keys, max(seq) as last_seq from fold group by shard, run""",
 )
 
 # --- commands ----------------------------------------------------------------------------------------------------------
 
-SCRIPT = ["put user_a one", "put user_b two", "put user_a three", "delete user_b", "put user_c four", "bf new bf_x", "bf add bf_x apple", "bf check bf_x apple", "cms new cms_x", "cms add cms_x pear", "cms count cms_x pear", "hll new hll_x", "hll add hll_x plum", "sh hash sh_a text", "sh hash sh_b text", "sh similarity sh_a sh_b", "get user_a", "get user_b", "list user_ 1 10", "range-scan user_b user_d"]
+SCRIPT = [
+    "put user_a one", "put user_b two", "put user_a three", "delete user_b", "put user_c four", "bf new bf_x", "bf add bf_x apple", "bf check bf_x apple", "cms new cms_x", "cms add cms_x pear",
+    "cms count cms_x pear", "hll new hll_x", "hll add hll_x plum", "sh hash sh_a text", "sh hash sh_b text", "sh similarity sh_a sh_b", "get user_a", "get user_b", "list user_ 1 10", "range-scan user_b user_d",
+    "hll count hll_x", "bf check bf_x absent", "sh hash sh_c other", "sh similarity sh_a sh_c", "bf new bf_x", "bf check bf_x apple", "hll add hll_x fig", "hll count hll_x", "cms add cms_x pear", "cms count cms_x none",
+]
 register(
     "command_script",
     lambda s, d: commands.run_script(s, SCRIPT),
-    """select * from (values (8, 'bf_x', 'present'), (10, 'cms_x', '1'), (11, 'cms_x', '1'), (16, 'sh_a', '1.0'), (17, 'user_a', 'three'), (18, 'user_b', 'Key not found'), (19, 'user_a', 'three'), (19, 'user_c', 'four'), (20, 'user_c', 'four')) t(line, key, value)""",
+    """with fp(w, h) as (select w, cast('0x' || substr(md5(w), 1, 16) as ubigint) from (values ('text'), ('other')) t(w)),
+est(n, e) as (select n, 1024 * ln(1024.0::double / (1024 - n)) from (values (1), (2)) t(n))
+select * from (values (8, 'bf_x', 'present'), (10, 'cms_x', '1'), (11, 'cms_x', '1'), (16, 'sh_a', '1.0'), (17, 'user_a', 'three'), (18, 'user_b', 'Key not found'), (19, 'user_a', 'three'), (19, 'user_c', 'four'), (20, 'user_c', 'four'),
+  (22, 'bf_x', 'not present'), (26, 'bf_x', 'not present'), (29, 'cms_x', '2'), (30, 'cms_x', '0')) t(line, key, value)
+union all select case n when 1 then 21 else 28 end, 'hll_x', cast(round(e, 4) as varchar) from est
+union all select 24, 'sh_a', cast(1 - bit_count(xor(a.h, b.h)) / 64.0::double as varchar) from fp a, fp b where a.w = 'text' and b.w = 'other'""",
 )

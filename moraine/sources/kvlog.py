@@ -2,14 +2,29 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from moraine.operators.ordered import ensure_checkpoint_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def temporary(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared checkpoint folder, deleted when the driver's file systems are closed."""
+    ensure_checkpoint_dir(spark)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared.rstrip('/')}/moraine/{name}-{uuid.uuid4().hex}/data")
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(path.getParent())
+    system.deleteOnExit(path.getParent())
+    return system.makeQualified(path).toString()
+
+
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a mutation log; an 'error' event deletes its key.
 

@@ -2,7 +2,9 @@
 
 A run holds one row per key, dealt into key ranges and sorted by key, with a
 Parquet bloom filter on the key, so point and range reads skip files and row
-groups. A level with ``level_threshold`` runs is merged into one run of the next
+groups. Beside it stand its sparse summary (a row for each block of keys), and a
+row of metadata: first and last key, number of rows and Merkle root. Reads skip
+runs whose keys can't have what is asked for. A level with ``level_threshold`` runs is merged into one run of the next
 level. Runs are written whole before the runs that they replace go, and reading
 resolves versions anyway, so a failure in between changes no result.
 """
@@ -14,7 +16,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moraine.operators import scan, versions
+from moraine.operators import blocks, merkle, ordered, scan, versions
 from moraine.sources.config import Config
 
 _RUN = re.compile(r"level=(\d+)/run=(\d+)$")
@@ -49,7 +51,40 @@ class RunStore:
 
     def _write(self, rows: DataFrame, level: int, run: int) -> None:
         sorted_ = rows.repartitionByRange("key").sortWithinPartitions("key", "ts", "seq")
-        sorted_.write.mode("overwrite").option("parquet.bloom.filter.enabled#key", "true").parquet(self._where(level, run))
+        writer = sorted_.write.mode("overwrite").option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.fpp#key", str(self.config.run_bloom_rate))
+        writer.parquet(self._where(level, run))
+        written = self._load([(level, run)])
+        numbered = ordered.numbered(written.select("key", "ts", "seq"), ["key", "ts", "seq"]).withColumn("index_offset", F.col("rn") - 1)
+        blocks.summary(numbered, self.config.summary_every).write.mode("overwrite").parquet(self._beside("summary", level, run))
+        self._described(written).write.mode("overwrite").parquet(self._beside("meta", level, run))
+
+    def _beside(self, kind: str, level: int, run: int) -> str:
+        return f"{self.root}/{kind}/level={level}/run={run}"
+
+    def _described(self, rows: DataFrame) -> DataFrame:
+        """first_key, last_key, n, root and leaves of a run: its range and the Merkle root over its values in key order."""
+        return blocks.total_range(rows).crossJoin(F.broadcast(merkle.root(rows, ["key", "ts", "seq"])))  # one row and one row
+
+    def metadata(self) -> DataFrame:
+        """level, run, first_key, last_key, n, root and leaves of each run."""
+        every = self.runs()
+        if not every:
+            return self.spark.createDataFrame([], "level int, run int, first_key string, last_key string, n bigint, root string, leaves bigint")
+        read = self.spark.read.option("basePath", f"{self.root}/meta").parquet(*[self._beside("meta", *r) for r in every])
+        return read.select(F.col("level").cast("int"), F.col("run").cast("int"), "first_key", "last_key", "n", "root", "leaves")
+
+    def summary(self, level: int, run: int) -> DataFrame:
+        """block, first_key, last_key, offset (rows before it) and n of a run's blocks."""
+        return self.spark.read.parquet(self._beside("summary", level, run))
+
+    def intact(self, level: int, run: int) -> bool:
+        """Whether a run's rows still have the Merkle root that they were written with."""
+        stored = self.spark.read.parquet(self._beside("meta", level, run)).first()
+        return tuple(self._described(self._load([(level, run)])).first()) == tuple(stored)
+
+    def _runs_with(self, test) -> list[tuple[int, int]]:
+        """The runs whose range passes a test, by their metadata, a row for each run."""
+        return [(r.level, r.run) for r in self.metadata().where("n > 0").where(test).select("level", "run").collect()]
 
     def _load(self, runs: list[tuple[int, int]]) -> DataFrame:
         if not runs:
@@ -87,17 +122,18 @@ class RunStore:
         run = max((n for at, n in every if at == level + 1), default=-1) + 1
         self._write(self._compacted(self._load(some), drop_tombstones=oldest), level + 1, run)
         for r in some:
-            self._fs().delete(self._path(self._where(*r)), True)
+            for where in (self._where(*r), self._beside("summary", *r), self._beside("meta", *r)):
+                self._fs().delete(self._path(where), True)
 
     def log(self) -> DataFrame:
         """The rows of all runs."""
         return self._load(self.runs())
 
     def get(self, key: str) -> DataFrame:
-        return scan.get(self.log(), key)
+        return scan.get(self._load(self._runs_with(blocks.range_intersects(key, key))), key)
 
     def prefix_scan(self, prefix: str) -> DataFrame:
-        return scan.prefix_scan(self.log(), prefix)
+        return scan.prefix_scan(self._load(self._runs_with(blocks.prefix_intersects(prefix))), prefix)
 
     def range_scan(self, start: str, end: str) -> DataFrame:
-        return scan.range_scan(self.log(), start, end)
+        return scan.range_scan(self._load(self._runs_with(blocks.range_intersects(start, end))), start, end)

@@ -1,13 +1,16 @@
 """Runs, segments, streams and the command line; what the catalog's oracles don't reach."""
 
+import hashlib
 import random
+from collections import Counter
 
 import pytest
 
-from moraine.__main__ import main
+from moraine.__main__ import described, main
+from moraine.functions import simhash
 from moraine.functions.sketches import Bloom, CountMin, HyperLogLog
 from moraine.operators import folds, versions
-from moraine.plans.commands import CommandError, RateGate, parse, run_script
+from moraine.plans.commands import LOG, CommandError, Engine, RateGate, parse, run_script
 from moraine.sources import frames
 from moraine.sources.config import Config
 from moraine.sources.store import RunStore
@@ -119,3 +122,106 @@ def test_sketch_properties(spark):
     truth = {r["item"]: r["count"] for r in items.groupBy("item").count().collect()}
     assert all(r.estimate >= truth[r["item"]] for r in cms.count(cms.matrix(items, "item"), items, "item").collect())
     assert abs(hll.count(hll.registers(items, "item")).first().estimate - 300) < 3 * 300 * 1.04 / 32
+
+
+def test_write_ahead_log(tmp_path):
+    folder, entries = str(tmp_path / "wal"), [(i, f"k{i}".encode(), None if i % 5 == 0 else b"v" * i) for i in range(1, 40)]
+    wal = frames.WriteAheadLog(folder, 300)
+    for e in entries[:20]:
+        wal.append(*e)
+    wal = frames.WriteAheadLog(folder, 300)  # goes on where it was
+    for e in entries[20:]:
+        wal.append(*e)
+    assert list(wal.entries()) == entries and wal.segments() == list(range(wal.index + 1)) and wal.index > 2
+    with pytest.raises(ValueError, match="fits no"):
+        wal.append(99, b"k", b"v" * 400)
+    last = tmp_path / "wal" / f"segment-{wal.index}"
+    last.write_bytes(last.read_bytes()[:-3])  # a crash in the middle of a write
+    wal = frames.WriteAheadLog(folder, 300)
+    assert list(wal.entries()) == entries[:-1]
+    wal.append(*entries[-1])
+    assert list(wal.entries()) == entries
+    before = wal.index
+    wal.purge()
+    assert wal.segments() == [] and wal.index == before + 1
+    wal.append(*entries[0])
+    assert list(wal.entries()) == entries[:1]
+    (tmp_path / "wal" / f"segment-{wal.index + 2}").write_bytes(b"")
+    with pytest.raises(frames.SegmentGap):
+        frames.WriteAheadLog(folder, 300)
+
+
+def test_engine_survives_a_crash(spark, tmp_path):
+    config = Config(memtable_keys=4, cache_entries=2)
+
+    def opened():
+        return Engine(spark, config=config, store=RunStore(spark, str(tmp_path / "s"), LOG, config), wal=frames.WriteAheadLog(str(tmp_path / "wal"), 20_000))
+
+    def value(engine, key):
+        return engine.execute(f"get {key}").first().value
+
+    engine = opened()
+    for line in ("put a 1", "put b 2", "cms new cms_x", "cms add cms_x pear"):
+        engine.execute(line)
+    assert engine.store.runs() == [] and value(engine, "a") == "1"
+    engine.execute("put a 3")  # not from the cache
+    assert value(engine, "a") == "3"
+    engine = opened()  # nothing was flushed: all comes from the log
+    assert len(engine.pending) == 5 and (value(engine, "a"), value(engine, "b")) == ("3", "2")
+    engine.execute("delete b")
+    engine.execute("put d 4")
+    assert engine.store.runs() == [(0, 0)] and engine.pending == [] and list(engine.wal.entries()) == []
+    engine = opened()
+    assert (value(engine, "a"), value(engine, "b"), value(engine, "d")) == ("3", "Key not found", "4")
+    assert engine.execute("cms count cms_x pear").first().value == "1" and list(engine.cache) == ["b", "d"]
+    # Flushed, but the log not purged: its entries don't count twice.
+    for ts, key, op in ((3, "cms_x", "new"), (4, "cms_x", "add")):
+        engine.wal.append(ts, key.encode(), f'["{op}", "pear"]'.encode())
+    assert opened().pending == []
+
+
+def test_runs_have_metadata(spark, tmp_path):
+    store = RunStore(spark, str(tmp_path / "s"), SCHEMA, Config(summary_every=3))
+    store.init()
+    assert store.metadata().count() == 0
+    store.add(log(spark, [(i, f"a{i}", f"v{i}") for i in range(8)]))
+    store.add(log(spark, [(100 + i, f"m{i}", None if i == 2 else "w") for i in range(5)]))
+    meta = {(r.level, r.run): r for r in store.metadata().collect()}
+    assert [(r.first_key, r.last_key, r.n, r.leaves) for _, r in sorted(meta.items())] == [("a0", "a7", 8, 8), ("m0", "m4", 5, 5)]
+    assert meta[0, 0].root != meta[0, 1].root and store.intact(0, 0) and store.intact(0, 1)
+    assert [(r.block, r.first_key, r.last_key, r.offset, r.n) for r in store.summary(0, 0).orderBy("block").collect()] == [(0, "a0", "a2", 0, 3), (1, "a3", "a5", 3, 3), (2, "a6", "a7", 6, 2)]
+    for found, runs in ((store.get("m1"), {"run=1"}), (store.range_scan("a3", "b"), {"run=0"}), (store.prefix_scan("m"), {"run=1"})):
+        assert {part for f in found.inputFiles() for part in f.split("/") if part.startswith("run=")} == runs  # the other run isn't read
+    assert store.get("zzz").count() == 0
+    log(spark, [(i, f"a{i}", "changed") for i in range(8)]).write.mode("overwrite").parquet(str(tmp_path / "s" / "level=0" / "run=0"))
+    assert not store.intact(0, 0)
+
+
+def test_settings_and_data(spark, tmp_path):
+    at = ["--dir", str(tmp_path / "d"), "--config", str(tmp_path / "c")]
+    Config(stopwords=("noise",)).save(str(tmp_path / "c"))
+    assert main(["generate-test-data", "--n", "30", *at]) == 0
+    said = []
+    assert main(["start", *at], lines=["get key_7", "sh hash sh_a 'pear noise'", "sh hash sh_b 'pear'", "sh similarity sh_a sh_b", "help", "get"], out=said.append) == 0
+    assert len(said[0]) == len("key_7: ") + 32 and said[1] == "sh_a: 1.0" and said[2].startswith("help") and said[3].startswith("error")
+    try:
+        try:
+            raise OSError("no disk")
+        except OSError as e:
+            raise ValueError("no log") from e
+    except ValueError as e:
+        assert described(e) == "error: no log\ncaused by: no disk"
+
+
+def test_fingerprint_of_a_long_text(spark):
+    text = " ".join(f"w{i % 7}" for i in range((1 << 20) + 5000))  # more than a block of counters
+    short = " ".join(f"w{i}" for i in range(7) for _ in range(3))
+    rows = simhash.fingerprints(spark.createDataFrame([(1, text), (2, short), (3, None)], "id int, text string"), "id").collect()
+    got = {r.id: (r.fp_hi, r.fp_lo) for r in rows}
+
+    def want(words):
+        sums = [sum((1 if int(hashlib.md5(w.encode()).hexdigest()[:16], 16) >> i & 1 else -1) * n for w, n in Counter(words).items()) for i in range(64)]
+        fp = sum(1 << i for i, s in enumerate(sums) if s > 0)
+        return fp >> 32, fp & 0xFFFFFFFF
+
+    assert got == {1: want(text.split()), 2: want(short.split()), 3: (0, 0)}
