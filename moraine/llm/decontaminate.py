@@ -12,11 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moraine.llm.common import ascii_lower, table, text_key, window_hashes
+from moraine.llm.common import Workspace, ascii_lower, fresh, table, text_key, window_hashes
 
 WINDOW = 10
-#: Item windows up to which their hashes are broadcast; about 300 bytes each.
-BROADCAST_WINDOWS = 200_000
+#: Distinct item windows up to which they are broadcast, about 300 bytes each whatever the number of their items,
+#: and documents with hits up to which their keys are. Results don't depend on either.
+BROADCAST_WINDOWS, BROADCAST_KEYS = 200_000, 500_000
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -26,15 +27,18 @@ def words(text: str = "text") -> Column:
     return F.array_remove(F.split(F.coalesce(ascii_lower(F.col(text).cast("string")), F.lit("")), _GAP), "")
 
 
-def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """n, g, item_words and items: each distinct window, its hash and the items that have it."""
+def item_windows(items: DataFrame, work: Workspace, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """Written tables of the distinct windows (n, g, item_words and the id w) and of the items (w, item_id) that have them."""
     found = items.select("item_id", words().alias("words")).where(F.size("words") > 0).withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
     found = window_hashes(found, "h", list(range(1, window + 1)), [f"g{n}" for n in range(1, window + 1)])
     n = F.least(F.lit(window), F.size("words"))
     found = found.select("item_id", "words", n.alias("n"), F.coalesce(*[F.when(n == k, F.col(f"g{k}")) for k in range(1, window + 1)]).alias("all"))
     single = found.select("item_id", "words", "n", F.posexplode_outer("all").alias("at", "g"))
-    single = single.select("item_id", "n", "g", F.slice("words", F.col("at") + 1, F.col("n")).alias("item_words"))
-    return single.groupBy("n", "g", "item_words").agg(F.collect_set("item_id").alias("items"))
+    single = work.write(single.select("item_id", "n", "g", F.slice("words", F.col("at") + 1, F.col("n")).alias("item_words")), "single")
+    windows = work.write(single.select("n", "g", "item_words").distinct().withColumn("w", F.monotonically_increasing_id()), "windows")
+    having = work.write(single.join(windows, ["n", "g", "item_words"]).select("w", "item_id").distinct(), "having")
+    work.drop(single)
+    return windows, having
 
 
 #: The hash that each document has once in a scan for all documents, at its first place.
@@ -42,7 +46,7 @@ _EACH = -0x5DEECE66D
 
 
 def _scan(rows: DataFrame, known: DataFrame, sizes: list[int], small: bool, each: bool = False) -> DataFrame:
-    """The hits of rows with words: their other columns, n_words, span and items of every verified window.
+    """The hits of rows with words: their other columns, n_words, span and w of every verified window.
 
     With ``each`` every row has one more hit whose span is null.
     """
@@ -60,7 +64,7 @@ def _scan(rows: DataFrame, known: DataFrame, sizes: list[int], small: bool, each
         start = F.when(F.col("n") == n, before).otherwise(start)
         before = before + F.greatest(F.lit(0), F.col("n_words") - (n - 1))
     if each:
-        mark = known.sparkSession.range(1).select(F.lit(0).alias("n"), F.array().cast("array<string>").alias("item_words"), F.array().cast("array<bigint>").alias("items"), F.lit(_EACH).alias("g"))
+        mark = known.sparkSession.range(1).select(F.lit(0).alias("n"), F.array().cast("array<string>").alias("item_words"), F.lit(-1).cast("bigint").alias("w"), F.lit(_EACH).alias("g"))
         known = known.select(*mark.columns).unionByName(mark)
     if small:
         found = hashed.join(F.broadcast(known), "g")
@@ -71,29 +75,23 @@ def _scan(rows: DataFrame, known: DataFrame, sizes: list[int], small: bool, each
     real = inside & (F.slice("words", F.when(inside, F.col("pos") + 1).otherwise(1), F.col("n")) == F.col("item_words"))
     if each:
         real = real | ((F.col("n") == 0) & (F.col("at") == 0))
-    return found.where(real).select(*carry, "n_words", F.when(F.col("n") > 0, F.struct("pos", "n")).alias("span"), F.when(F.col("n") > 0, F.col("items")).alias("items"))
+    return found.where(real).select(*carry, "n_words", F.when(F.col("n") > 0, F.struct("pos", "n")).alias("span"), F.when(F.col("n") > 0, F.col("w")).alias("w"))
 
 
-def _known(items: DataFrame, window: int, most: int) -> tuple[DataFrame, list[int], bool]:
-    """The items' windows, their sizes, and whether they are few enough to broadcast."""
-    known = item_windows(items, window).cache()
-    sizes = sorted((r.n for r in known.select("n").distinct().collect()), reverse=True)  # at most ``window``
-    return known, sizes, known.count() <= most
+def _sizes(windows: DataFrame) -> list[int]:
+    return sorted((r.n for r in windows.select("n").distinct().collect()), reverse=True)  # at most the size of a window
 
 
-def _gathered() -> tuple[Column, Column]:
-    return F.collect_set("span").alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items")
-
-
-def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, most: int = BROADCAST_WINDOWS) -> DataFrame:
-    """doc_id, text_key, spans and items of every document with a hit.
+def hits(docs: DataFrame, items: DataFrame, work: Workspace, window: int = WINDOW, most: int = BROADCAST_WINDOWS) -> DataFrame:
+    """doc_id, text_key and spans of every document with a hit, a written table.
 
     spans are distinct (pos, n): n words from the 0-based word pos are a window
-    of some item; items are the distinct ids of the items with such windows.
+    of some item. Rows with equal doc_id and text are one document.
     """
-    known, sizes, small = _known(items, window, most)
+    windows, _ = item_windows(items, work, window)
     rows = docs.select(F.col("doc_id").cast("bigint"), text_key(F.col("text").cast("string")).alias("text_key"), words().alias("words"))
-    return _scan(rows, known, sizes, small).groupBy("doc_id", "text_key").agg(*_gathered())
+    found = _scan(rows, windows, _sizes(windows), windows.count() <= most)
+    return work.write(found.groupBy("doc_id", "text_key").agg(F.collect_set("span").alias("spans")), "hits")
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, most: int = BROADCAST_WINDOWS) -> DataFrame:
@@ -102,50 +100,71 @@ def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, most
     A word is hit if it lies in any occurrence of an item's window. Null and
     empty texts have no words and no hits; items without words have no windows.
     Rows with equal doc_id and text share their values and keep a row each, also
-    where doc_id is null. Items may repeat, also their ids. Empty tables give no
-    rows, or rows without hits. Other columns aren't read.
+    where doc_id is null. Items may repeat, also their ids. Texts of any length
+    are read whole. Empty tables give no rows, or rows without hits. Only doc_id,
+    text and item_id are read, so other columns may have any name.
     """
-    known, sizes, small = _known(items, window, most)
-    rows = docs.select(F.col("doc_id").cast("bigint"), F.monotonically_increasing_id().alias("row"), text_key(F.col("text").cast("string")).alias("text_key"), words().alias("words"))
+    work = Workspace(docs.sparkSession, "decontamination")
+    windows, having = item_windows(items, work, window)
+    sizes, small = _sizes(windows), windows.count() <= most
+    gathered = F.collect_set("span").alias("spans"), F.collect_set("w").alias("ws")
     if small:  # one scan gives every row and its hits
-        both = _scan(rows.drop("text_key"), known, sizes, small, each=True).groupBy("row", "doc_id", "n_words").agg(*_gathered())
+        rows = docs.select(F.col("doc_id").cast("bigint"), F.monotonically_increasing_id().alias("row"), text_key(F.col("text").cast("string")).alias("text_key"), words().alias("words"))
+        both = _scan(rows.drop("text_key"), windows, sizes, small, each=True).groupBy("row", "doc_id", "n_words").agg(*gathered)
     else:
-        found = _scan(rows.drop("row", "doc_id"), known, sizes, small).groupBy("text_key").agg(*_gathered())
-        both = rows.select("doc_id", "text_key", F.size("words").cast("bigint").alias("n_words")).join(found, "text_key", "left")
+        rows = docs.select(F.col("doc_id").cast("bigint"), text_key(F.col("text").cast("string")).alias("text_key"), words().alias("words"))
+        found = _scan(rows.drop("doc_id"), windows, sizes, small).groupBy("text_key").agg(*gathered)
+        both = rows.select("doc_id", "text_key", F.size("words").cast("bigint").alias("n_words")).join(found, "text_key", "left").withColumn("row", F.monotonically_increasing_id())
     covered = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["pos"], s["pos"] + s["n"] - 1))))
     n_hit = F.when(F.size("spans") > 0, F.size(covered)).otherwise(0).cast("bigint")
+    both = work.write(both.select("row", "doc_id", "n_words", n_hit.alias("n_hit"), "ws"), "rows")
+    of = both.where(F.size("ws") > 0).select("row", F.explode("ws").alias("w")).join(having, "w").groupBy(F.col("row").alias("of")).agg(F.collect_set("item_id").alias("items"))
+    both = both.join(of, both["row"] == of["of"], "left")
     names = F.array_sort(F.transform(F.coalesce("items", F.array().cast("array<bigint>")), lambda i: i.cast("string")))
     return both.select(
         "doc_id",
         "n_words",
-        n_hit.alias("n_hit"),
+        "n_hit",
         F.size(names).cast("bigint").alias("n_items"),
         F.sha2(F.array_join(names, ",").cast("binary"), 256).alias("items_sha256"),
-        (n_hit > 0).alias("contaminated"),
+        (F.col("n_hit") > 0).alias("contaminated"),
     )
 
 
+def _with_hits(docs: DataFrame, items: DataFrame, window: int, how: str) -> tuple[DataFrame, str]:
+    """docs joined with the documents that have hits, and the name of the column of their spans."""
+    name, key, spans = fresh(docs.columns, "hit_id", "hit_key", "spans")
+    found = hits(docs, items, Workspace(docs.sparkSession, "hits"), window).toDF(name, key, spans)
+    if found.count() <= BROADCAST_KEYS:
+        found = F.broadcast(found)
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(name)) & (text_key(F.col("text").cast("string")) == F.col(key))
+    return docs.join(found, same, how), spans
+
+
 def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of docs without any hit, with all their columns."""
-    bad = hits(docs, items, window).select(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key"))
-    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("hit_id")) & (text_key(F.col("text").cast("string")) == F.col("hit_key"))
-    return docs.join(bad, same, "left_anti")
+    """The rows of docs without any hit, with all their columns.
+
+    Null and empty texts stay, as do all rows where no item has words; rows with
+    equal doc_id and text go together, also where doc_id is null; an empty table
+    gives no rows; columns of any name but doc_id and text are only carried.
+    """
+    return _with_hits(docs, items, window, "left_anti")[0]
 
 
 def without_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs with every hit word removed from text; rows without hits stay as they are.
 
-    In a text with hits the words that are not hit are kept, with what follows each up to the next word.
+    In a text with hits the words that are not hit are kept, with what follows
+    each up to the next word. Null texts, repeated rows, empty tables and other
+    columns are as in ``clean_documents``.
     """
-    found = hits(docs, items, window).select(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key"), "spans")
-    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("hit_id")) & (text_key(F.col("text").cast("string")) == F.col("hit_key"))
+    joined, spans = _with_hits(docs, items, window, "left")
     units = F.regexp_extract_all(F.col("text"), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"), F.lit(0))
     lead = F.regexp_extract(F.col("text"), r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*", 0)
-    gone = F.flatten(F.transform("spans", lambda s: F.sequence(s["pos"], s["pos"] + s["n"] - 1)))
+    gone = F.flatten(F.transform(spans, lambda s: F.sequence(s["pos"], s["pos"] + s["n"] - 1)))
     left = F.filter(units, lambda _, i: ~F.array_contains(gone, i))
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.concat(lead, F.array_join(left, "")))
-    names = [c for c in docs.columns]
-    return docs.join(found, same, "left").withColumn("text", text).select(*[F.col(f"`{c}`") for c in names])
+    text = F.when(F.col(spans).isNull(), F.col("text")).otherwise(F.concat(lead, F.array_join(left, "")))
+    return joined.withColumn("text", text).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
