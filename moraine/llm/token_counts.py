@@ -8,7 +8,8 @@ with at most one space before it, or white space.
 Each block of texts (an Arrow batch) is reduced to per-document pre-token
 frequencies; the block's distinct pre-tokens that the worker doesn't know yet
 are encoded once, for their number of pieces alone; and the frequencies are
-joined to those numbers and summed. What a worker knows is bounded by ``MEMO``.
+joined to those numbers and summed. What a worker knows is bounded by ``MEMO``
+pre-tokens of at most ``LONG`` characters and forgotten after each task.
 A join through the whole corpus's table of distinct pre-tokens gives the same
 counts but moves most of the corpus: rare pre-tokens outnumber the texts.
 """
@@ -18,15 +19,16 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from operator import mul, sub
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moraine.llm.common import table, tokenizer_path
+from moraine.llm.common import map_texts, release, table, tokenizer_path
 
-#: Pre-tokens that a worker knows before it starts anew.
-MEMO = 400_000
+#: Pre-tokens that a worker knows before it starts anew, and characters of one up to which it is remembered.
+MEMO, LONG = 400_000, 512
 LIMIT = 512
 
 _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -68,23 +70,39 @@ class PieceCounts:
     def __init__(self, path: str, memo: int = MEMO):
         self.tokenizer, self.most, self.known = _tokenizer(path), memo, {}
         self.special = _special(self.tokenizer)
+        # Tokens that begin with a space's symbol, which stands nowhere else in a pre-token that one space begins.
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.begins = bytearray(max(vocabulary.values(), default=0) + 1)
+        for token, i in vocabulary.items():
+            self.begins[i] = token.startswith("\u0120")
 
     def add(self, pretokens: set[str]) -> None:
         new = list(pretokens.difference(self.known))
         if len(self.known) + len(new) > self.most:
             self.known.clear()
             new = list(pretokens)
-        for start in range(0, len(new), 50_000):
-            some = new[start : start + 50_000]
+        spaced = [p for p in new if p[0] == " " and not p.isspace()]
+        # One after the other they are cut where each begins, so one call encodes them all.
+        ids = self.tokenizer.encode("".join(spaced), add_special_tokens=False).ids
+        starts = [i for i, t in enumerate(ids) if self.begins[t]]
+        if len(starts) == len(spaced):
+            self.known.update(zip(spaced, map(sub, [*starts[1:], len(ids)], starts)))
+            new = [p for p in new if p not in self.known]
+        for start in range(0, len(new), 10_000):
+            some = new[start : start + 10_000]
             encoded = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
             self.known.update(zip(some, map(len, encoded)))
 
     def count(self, texts: list[str]) -> list[int]:
         """Tokens of each text of a block."""
         found = [_counted(text, self.special) for text in texts]
-        self.add(set().union(*(f for f, _ in found)))
-        known = self.known
-        return [special + sum(known[p] * n for p, n in f.items()) for f, special in found]
+        distinct = set().union(*(f for f, _ in found))
+        self.add(distinct)
+        get = self.known.__getitem__
+        counts = [special + sum(map(mul, map(get, f), f.values())) for f, special in found]
+        for pretoken in [p for p in distinct if len(p) > LONG]:
+            del self.known[pretoken]
+        return counts
 
 
 #: Characters of the texts of a block, or one text.
@@ -115,9 +133,11 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
                 columns = [ids.slice(start, len(texts)), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > limit for n in n_tokens], pa.bool_())]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
                 start += len(texts)
+        pieces.known.clear()
+        release()
 
     ddl = "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean"
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, ddl)
+    return map_texts(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")), run, ddl)
 
 
 def _pieces(path: str, kept: dict = {}) -> PieceCounts:  # noqa: B006  one for each path and Python worker
