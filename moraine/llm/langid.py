@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from moraine.llm.common import table
+from moraine.llm.common import map_texts, release, table
 
 #: Training texts of each language, and of all, at most; landmarks of each language.
 PER_LANGUAGE, MOST, LANDMARKS = 400, 8_000, 60
@@ -26,6 +26,10 @@ PER_LANGUAGE, MOST, LANDMARKS = 400, 8_000, 60
 SURPLUS = 4
 #: n-gram buckets, n-gram sizes and the ridge.
 DIM, SIZES, RIDGE = 1 << 15, (1, 2, 3), 1e-2
+#: Texts of a block of presence rows (DIM floats each) that is multiplied at once.
+BLOCK = 64
+#: Languages up to which their counts are broadcast.
+BROADCAST_LANGUAGES = 100_000
 #: Characters looked at together; texts are taken in pieces of this many and their presences united.
 _PIECE = 1 << 20
 
@@ -61,13 +65,14 @@ class Model:
         """The language and score of each text of a batch; 'und' and 0 without letters."""
         real = [i for i, t in enumerate(texts) if _letters(t)] if self.languages else []
         names, scores = ["und"] * len(texts), [0.0] * len(texts)
-        for at in range(0, len(real), 256):
-            some = real[at : at + 256]
-            rows = [present(texts[i]) for i in some]
-            sizes = np.array([len(r) for r in rows])
-            starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-            # The product of the batch's presence rows and the matrix, row by row of what is present.
-            values = np.add.reduceat(self.matrix[np.concatenate(rows)], starts, axis=0) / np.sqrt(sizes)[:, None]
+        for at in range(0, len(real), BLOCK):
+            some = real[at : at + BLOCK]
+            # A block of presence rows times the matrix.
+            block = np.zeros((len(some), DIM), np.float32)
+            for row, i in zip(block, some):
+                at_ = present(texts[i])
+                row[at_] = 1 / np.sqrt(len(at_))
+            values = block @ self.matrix
             top = np.argmax(values, axis=1)
             odds = np.exp(4 * (values - values.max(axis=1, keepdims=True)))
             for i, k, p in zip(some, top, odds.max(axis=1) / odds.sum(axis=1)):
@@ -108,19 +113,27 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(True))
 
 
-def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int = MOST) -> Model:
-    """Fits on at most ``per_language`` texts of each language and ``most`` in all, chosen by hashes of doc_id.
+def sampled(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int = MOST) -> DataFrame:
+    """doc_id, lang, r and text: at most ``per_language`` distinct doc_ids of each language and ``most`` in all.
 
-    ``lang`` values are few or, where they are many, small: their counts are broadcast.
+    They are chosen by hashes of doc_id. A doc_id that stands in several rows
+    counts once, with its smallest lang and then its smallest text there.
     """
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).where(~held_out()).select(F.col("doc_id").cast("bigint"), F.col("lang").cast("string"))
+    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("lang").cast("string"), F.col("text").cast("string")).where("lang is not null and text is not null").where(~held_out())
     # Hashes thin each language to a few times what is taken before its rows meet in one task.
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n"))
     share = F.least(F.lit(1.0), F.lit(float(SURPLUS * per_language)) / F.col("n")) * (1 << 30)
-    thin = known.join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) < share)
+    few = sizes.count() <= BROADCAST_LANGUAGES
+    known = rows.select("doc_id", "lang").join(F.broadcast(sizes) if few else sizes, "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) < share)
+    known = known.groupBy("doc_id").agg(F.min("lang").alias("lang"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    rank = thin.select("doc_id", "lang", F.row_number().over(order).alias("r")).where(F.col("r") <= per_language)
-    rank = rank.orderBy("r", "lang").limit(most).select("doc_id", "r")
+    rank = known.select("doc_id", "lang", F.row_number().over(order).alias("r")).where(F.col("r") <= per_language)
+    rank = rank.orderBy("r", "lang").limit(most)  # at most ``most`` rows: broadcast
+    return rows.join(F.broadcast(rank), ["doc_id", "lang"]).groupBy("doc_id", "lang", "r").agg(F.min("text").alias("text"))
+
+
+def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int = MOST) -> Model:
+    """Fits on the presence rows of the sample, a few thousand bits each."""
     schema = pa.schema([("lang", pa.string()), ("r", pa.int32()), ("bits", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,8 +146,7 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int = MOST) -
                 bits.append(np.packbits(flags).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(bits, pa.binary())], schema=schema)
 
-    train = docs.select(F.col("doc_id").cast("bigint"), F.col("lang").cast("string"), F.col("text").cast("string")).where("lang is not null and text is not null").where(~held_out())
-    train = train.join(F.broadcast(rank), "doc_id").select("lang", "text", "r").mapInArrow(run, "lang string, r int, bits binary")
+    train = map_texts(sampled(docs, per_language, most).select("lang", "text", "r"), run, "lang string, r int, bits binary")
     rows = sorted((r.r, r.lang, bytes(r.bits)) for r in train.collect())
     return fit([(lang, np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8)))) for _, lang, bits in rows])
 
@@ -153,13 +165,14 @@ def languages(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int = MOS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, len(batch), 1024):
-                part = batch.slice(start, 1024)
+            for start in range(0, len(batch), 4 * BLOCK):
+                part = batch.slice(start, 4 * BLOCK)
                 names, scores = model.predict(part.column(2).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())], schema=schema)
+        release()
 
     rows = docs.select(F.col("doc_id").cast("bigint"), held_out().alias("held_out"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double")
+    return map_texts(rows, run, "doc_id bigint, held_out boolean, lang_pred string, score double")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
