@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moraine.llm.common import scratch, table
+from moraine.llm.common import delete_at_end, map_texts, qualified, release, scratch, table
 
 #: Bytes of a range that one task reads, bytes fetched at once, and bytes of a member looked at to find a header.
 RANGE, FETCH, PROBE = 8 << 20, 1 << 20, 4096
@@ -36,21 +37,25 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id, url: str, payload: bytes, refers_to=None, revisit: bool = False, sha: str | None = None) -> bytes:
-    """One record as a gzip member; a revisit has the length and digest of its payload but not the payload."""
-    name = uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id}")
+def record(page_id, url: str, payload: bytes, refers_to=None, revisit: bool = False, place: str = "") -> bytes:
+    """One record as a gzip member; a revisit has the length and digest of its payload but not the payload.
+
+    ``place``, its archive and number there, makes the record's id its own also
+    where page_ids repeat or are null; a revisit names the page that it refers to.
+    """
+    name = uuid.uuid5(uuid.NAMESPACE_URL, f"{place} {page_id}")
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
         f"WARC-Record-ID: <urn:uuid:{name}>",
         f"WARC-Date: {_DATE}",
         f"WARC-Target-URI: {' '.join((url or '').split())}",
-        f"WARC-Payload-Digest: sha1:{sha or digest(payload)}",
+        f"WARC-Payload-Digest: sha1:{digest(payload)}",
         f"X-Payload-Length: {len(payload)}",
     ]
     lines += [] if page_id is None else [f"X-Page-ID: {page_id}"]
     if revisit:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{refers_to}')}>", f"X-Refers-To-Page-ID: {refers_to}"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-ID: {refers_to}"]
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
@@ -62,9 +67,8 @@ def record(page_id, url: str, payload: bytes, refers_to=None, revisit: bool = Fa
 def _filesystem(path: str):
     from pyarrow import fs
 
-    if "://" not in path and not path.startswith("file:"):
-        return fs.LocalFileSystem(), path
-    return fs.FileSystem.from_uri(path)
+    # Hadoop writes file:/ where others write file:///.
+    return fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
 
 
 def with_revisits(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
@@ -86,28 +90,34 @@ def with_revisits(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
 
 
 def write(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """Writes the archives to a shared folder; path and bytes of each archive, in a written table."""
-    schema = pa.schema([("path", pa.string()), ("bytes", pa.int64())])
+    """Writes the archives to a shared folder; path, bytes and records of each archive, in a written table.
+
+    A folder without a scheme is one of Spark's default file system.
+    """
+    folder = qualified(pages.sparkSession, folder)
+    schema = pa.schema([("path", pa.string()), ("bytes", pa.int64()), ("records", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = _filesystem(folder)
         system.create_dir(f"{root}/warc", recursive=True)
-        name, size, out = uuid.uuid4().hex, 0, None
+        name, size, n, out = uuid.uuid4().hex, 0, 0, None
         for batch in batches:
             for page_id, url, payload, revisit, refers in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 if out is None:
                     out = system.open_output_stream(f"{root}/warc/.{name}")
-                member = record(page_id, url, payload, refers, revisit)
+                member = record(page_id, url, payload, refers, revisit, f"{name}/{n}")
                 out.write(member)
-                size += len(member)
+                size, n = size + len(member), n + 1
         if out is not None:
             out.close()
             system.move(f"{root}/warc/.{name}", f"{root}/warc/{name}.warc.gz")
-            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/warc/{name}.warc.gz"]), pa.array([size], pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/warc/{name}.warc.gz"]), pa.array([size], pa.int64()), pa.array([n], pa.int64())], schema=schema)
+        release()
 
     # An attempt that is lost leaves a file that the table of archives doesn't name.
-    with_revisits(pages, min_bytes).mapInArrow(run, "path string, bytes bigint").write.parquet(f"{folder}/archives")
-    return pages.sparkSession.read.schema("path string, bytes bigint").parquet(f"{folder}/archives")
+    ddl = "path string, bytes bigint, records bigint"
+    map_texts(with_revisits(pages, min_bytes), run, ddl).write.parquet(f"{folder}/archives")
+    return pages.sparkSession.read.schema(ddl).parquet(f"{folder}/archives")
 
 
 def parse(data: bytes) -> dict | None:
@@ -139,53 +149,70 @@ class _Window:
             self.data, self.base = self.data[before - self.base :], before
 
 
-def read_range(file, size: int, start: int, end: int) -> Iterator[dict]:
-    """The records whose member starts in [start, end)."""
-    window, at = _Window(file, size, start), start
-    while at < end:
-        window.forget(at)
-        window.upto(at + FETCH)
-        found = window.data.find(_MAGIC, at - window.base)
-        if found < 0:  # the magic may lie across the end of what is present
-            at = max(at + 1, window.base + len(window.data) - len(_MAGIC) + 1)
-            if at >= size - len(_MAGIC) + 1:
-                return
-            continue
-        at = window.base + found
-        if at >= end:
-            return
-        window.upto(at + PROBE)
-        try:
-            head = zlib.decompressobj(31).decompress(window.data[at - window.base : at - window.base + PROBE], 8)
-        except zlib.error:
-            head = b""
+class DamagedArchive(ValueError):
+    """An archive whose members don't follow one another without a gap."""
+
+
+def _member(window: _Window, at: int, size: int) -> tuple[dict, int] | None:
+    """The record whose member starts at ``at`` and the member's end, or None if none does."""
+    window.upto(at + PROBE)
+    try:
+        head = zlib.decompressobj(31).decompress(window.data[at - window.base : at - window.base + PROBE], 8)
         if not head.startswith(b"WARC/1."):
-            at += 1
-            continue
+            return None
         unpack, parts, here = zlib.decompressobj(31), [], at
-        try:
-            while not unpack.eof and here < size:
-                window.upto(here + FETCH)
-                piece = window.data[here - window.base : here - window.base + FETCH]
-                parts.append(unpack.decompress(piece))
-                here += len(piece) - len(unpack.unused_data)
-        except zlib.error:
-            at += 1
+        while not unpack.eof and here < size:
+            window.upto(here + FETCH)
+            piece = window.data[here - window.base : here - window.base + FETCH]
+            parts.append(unpack.decompress(piece))
+            here += len(piece) - len(unpack.unused_data)
+    except zlib.error:
+        return None
+    made = parse(b"".join(parts)) if unpack.eof else None
+    return None if made is None else (made, here)
+
+
+def read_range(file, size: int, start: int, end: int, strict: bool = True) -> Iterator[dict]:
+    """The records whose member starts in [start, end).
+
+    The first is searched for; each next one has to start where the last ends,
+    and where the range ends a member has to start or the file to end. So the
+    ranges of a file together see each gap, also one that a damaged member
+    leaves: a DamagedArchive, or with ``strict`` off skipped.
+    """
+    window, at, due = _Window(file, size, start), start, start == 0
+    while at < min(end, size):
+        window.forget(at)
+        found = _member(window, at, size)
+        if found is not None:
+            yield found[0]
+            at, due = found[1], True
             continue
-        made = parse(b"".join(parts)) if unpack.eof else None
-        if made is None:
+        if due and strict:
+            raise DamagedArchive(f"no whole record starts at byte {at}")
+        due = False
+        while True:  # the next magic
             at += 1
-        else:
-            yield made
-            at = here
+            window.forget(at)
+            window.upto(at + FETCH)
+            place = window.data.find(_MAGIC, at - window.base)
+            if place >= 0:
+                at = window.base + place
+                break
+            if window.base + len(window.data) >= size:
+                return
+            at = window.base + len(window.data) - len(_MAGIC)  # it may lie across the end of what is present
+    if due and strict and at < size and _member(window, at, size) is None:
+        raise DamagedArchive(f"no whole record starts at byte {at}")
 
 
-def read(archives: DataFrame, range_bytes: int = RANGE) -> DataFrame:
+def read(archives: DataFrame, range_bytes: int = RANGE, strict: bool = True) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, url and html of every record.
 
     html is null for revisits; their length and digest are those of the full
     payload, from the record's headers. Those of responses come from the bytes
-    that were read, and a response whose header disagrees is an error.
+    that were read, and a response whose header disagrees is an error, as is a
+    damaged or lost record unless ``strict`` is off.
     """
     starts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("bytes") - 1, F.lit(range_bytes).cast("bigint")))
     ranges = archives.where("bytes > 0").select("path", "bytes", starts.alias("start"))
@@ -197,7 +224,7 @@ def read(archives: DataFrame, range_bytes: int = RANGE) -> DataFrame:
                 system, where = _filesystem(path)
                 rows: list[tuple] = []
                 with system.open_input_file(where) as file:
-                    for r in read_range(file, size, start, start + range_bytes):
+                    for r in read_range(file, size, start, start + range_bytes, strict):
                         page = r.get("x-page-id")
                         sha = r["warc-payload-digest"].removeprefix("sha1:")
                         if r["warc-type"] == "response":
@@ -222,11 +249,26 @@ def round_trip(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
 
     Null html counts as empty, null urls are empty, a null page_id stays null
     and ranks last. Of equal payloads with the same smallest page_id all are
-    responses, so repeated rows keep a row each. An empty table gives no rows.
+    responses, so repeated rows keep a row each. Pages of any length are written
+    whole. An empty table gives no rows; columns but page_id, url and html are
+    not read. The archives are deleted when the session's file systems close.
     """
     folder = scratch(pages.sparkSession, "warc")
-    return read(write(pages, folder, min_bytes))
+    archives = write(pages, folder, min_bytes)
+    delete_at_end(pages.sparkSession, folder)
+    return read(archives)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE = """
+with p as (select page_id, coalesce(html, '') as payload, sha1(coalesce(html, '')) as x from pages),
+f as (select payload, min(page_id) as first_id from p group by payload)
+select page_id, cast(strlen(p.payload) as bigint) as payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    cast((cast('0x' || substr(x, cast(1 + 10 * (i // 8) as integer), 10) as bigint) >> cast(35 - 5 * (i % 8) as integer)) & 31 as integer) + 1, 1)), '') as payload_digest,
+  case when page_id = first_id then 'response' else 'revisit' end as record_type,
+  case when page_id <> first_id then first_id end as refers_to
+from p join f using (payload)"""
