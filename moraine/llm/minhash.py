@@ -8,7 +8,7 @@ equal to their Jaccard similarity, with the concentration of independent draws.
 
 Bands of ``ROWS`` bins make bucket keys. A pair at similarity s shares each band
 with probability s**7, and there are as many bands as it takes for a pair just at
-the threshold to miss all of them with probability ``MISS`` at most (70 at 0.8,
+the threshold to miss all of them with probability ``MISS`` at most (69 at 0.8,
 42 at 0.85).
 
 A parity sketch of each set (of each of ``PARITY`` bits, whether an odd number of
