@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,15 +52,17 @@ def similarity(distance: Column) -> Column:
 def near(fps: DataFrame, by: str, most: int = 3) -> DataFrame:
     """a, b and distance of the pairs of different fingerprints at most ``most`` bits apart, by their smallest ids.
 
-    Two such fingerprints agree in at least one of ``most`` + 1 bands, so only
-    those that share a band are compared. Equal fingerprints are one class.
+    Of ``most`` + 3 blocks of bits such a pair has three the same at least, so
+    only those that share some three blocks, about half of the bits, are
+    compared. Equal fingerprints are one class.
     """
     classes = fps.groupBy("fp_hi", "fp_lo").agg(F.min(by).alias("id"))
-    n = most + 1
+    n = most + 3
     cuts = [64 * i // n for i in range(n + 1)]
-    bit = lambda i: F.shiftright("fp_lo" if i < 32 else "fp_hi", i % 32).bitwiseAND(F.lit(1))
-    band = lambda k: F.concat_ws("", F.lit(f"{k}:"), *[bit(i).cast("string") for i in range(cuts[k], cuts[k + 1])])
-    keyed = classes.withColumn("band", F.explode(F.array(*map(band, range(n)))))
-    a, b = keyed.toDF("hi_a", "lo_a", "a", "band"), keyed.toDF("hi_b", "lo_b", "b", "band")
+    whole = F.shiftleft("fp_hi", 32).bitwiseOR(F.col("fp_lo"))
+    block = lambda k: F.shiftrightunsigned(whole, cuts[k]).bitwiseAND(F.lit((1 << (cuts[k + 1] - cuts[k])) - 1))
+    keys = [F.struct(F.lit(j).alias("j"), F.xxhash64(*map(block, some)).alias("x")) for j, some in enumerate(combinations(range(n), 3))]
+    keyed = classes.select("fp_hi", "fp_lo", "id", F.explode(F.array(*keys)).alias("key")).select("fp_hi", "fp_lo", "id", "key.j", "key.x")
+    a, b = keyed.toDF("hi_a", "lo_a", "a", "j", "x"), keyed.toDF("hi_b", "lo_b", "b", "j", "x")
     distance = hamming(F.col("hi_a"), F.col("lo_a"), F.col("hi_b"), F.col("lo_b"))
-    return a.join(b, "band").where("a < b").withColumn("distance", distance).where(F.col("distance") <= most).select("a", "b", "distance").distinct()
+    return a.join(b, ["j", "x"]).where("a < b").withColumn("distance", distance).where(F.col("distance") <= most).select("a", "b", "distance").distinct()

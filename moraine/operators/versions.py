@@ -64,3 +64,11 @@ def put(log: DataFrame, rows: DataFrame) -> DataFrame:
 def delete(log: DataFrame, keys: DataFrame) -> DataFrame:
     """The log with a tombstone (key, ts, seq) appended for each key."""
     return log.unionByName(keys.withColumn("is_tombstone", F.lit(True)), allowMissingColumns=True)
+
+
+def update(view: DataFrame, rows: DataFrame) -> DataFrame:
+    """A view of one row a key with the values of rows (key, ts, seq, value) in it: a known key keeps its (ts, seq), also if it was deleted, a new one comes with its own."""
+    new = rows.select("key", F.col("ts").alias("_ts"), F.col("seq").alias("_seq"), F.col("value").alias("_value"), F.lit(True).alias("_new"))
+    both = view.join(new, "key", "full_outer")
+    changed = {"ts": F.coalesce("ts", "_ts"), "seq": F.coalesce("seq", "_seq"), "value": F.when(F.col("_new"), F.col("_value")).otherwise(F.col("value")), "is_tombstone": F.when(F.col("_new"), F.lit(False)).otherwise(F.col("is_tombstone"))}
+    return both.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in view.columns])

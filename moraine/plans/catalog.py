@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moraine.functions import bits, simhash
+from moraine.functions import bits, codecs, simhash
 from moraine.functions.sketches import Bloom, CountMin, HyperLogLog
 from moraine.functions.hashing import hash60_sql
 from moraine.operators import blocks, folds, levels, merkle, ordered, scan, versions
@@ -159,7 +159,7 @@ RUNS_SQL = f"{LOG_SQL}, runs as (select *, (row_number() over (order by ts, seq)
 
 
 def _compact_levels(spark: SparkSession, d: str) -> DataFrame:
-    runs = _runs(spark, d).cache()
+    runs = _runs(spark, d).checkpoint()
     n = runs.agg((F.max("run") + 1).alias("n"))
     leveled = runs.withColumn("n", n.scalar())
     leveled = leveled.withColumn("level", levels.level_of(F.col("run"), F.col("n"), 4, 3))
@@ -220,6 +220,28 @@ register(
     lambda s, d: _stored(s, d).metadata().drop("root"),
     f"with {QUARTERS_SQL} select cast(0 as integer) as level, cast(seq % 4 as integer) as run, min(key) as first_key, max(key) as last_key, count(*) as n, count(*) as leaves from q where r4 = 1 group by seq % 4",
 )
+register(
+    "store_may_have",
+    lambda s, d: _stored(s, d).may_have(0, 1, event_log(s, d).select("key")).where("present").select(F.col("item").alias("key")).join(versions.latest(event_log(s, d).where("seq % 4 = 1")).select("key"), "key"),
+    "select distinct 'user_' || user_id as key from events where event_id % 4 = 1",
+)
+register(
+    "store_run_index",
+    lambda s, d: _stored(s, d).index(0, 2).select("key", "rn", "index_offset"),
+    f"with {QUARTERS_SQL} select key, row_number() over (order by key) as rn, row_number() over (order by key) - 1 as index_offset from q where r4 = 1 and seq % 4 = 2",
+)
+register(
+    "store_run_seek",
+    lambda s, d: _stored(s, d).seek(0, 3, "user_2", 20).select("key", "ts", "seq"),
+    f"with {QUARTERS_SQL} select key, ts, seq from q where r4 = 1 and seq % 4 = 3 and key >= 'user_2' order by key limit 20",
+)
+register(
+    "kv_memtable_update",
+    lambda s, d: versions.update(versions.latest(event_log(s, d)), table(s, d, "customer").select(F.concat(F.lit("user_"), F.col("c_custkey")).alias("key"), F.lit(1).cast("bigint").alias("ts"), F.lit(0).cast("bigint").alias("seq"), F.col("c_acctbal").cast("double").alias("value"))),
+    f"""with {LOG_SQL}, v as (select * exclude (rn) from ranked where rn = 1), c as (select 'user_' || c_custkey as key, cast(c_acctbal as double) as bal from customer)
+select coalesce(ts, 1) as ts, coalesce(seq, 0) as seq, coalesce(v.key, c.key) as key, event_type, case when c.key is not null then bal else value end as value,
+  case when c.key is not null then false else is_tombstone end as is_tombstone from v full outer join c on v.key = c.key""",
+)
 register("store_get", lambda s, d: _current(_stored(s, d).get("user_3")), f"with {LOG_SQL} select * from cur where key = 'user_3'")
 register("store_range_scan", lambda s, d: _current(_stored(s, d).range_scan("user_12", "user_3")), f"with {LOG_SQL} select * from cur where key between 'user_12' and 'user_3'")
 
@@ -397,6 +419,23 @@ register(
 register("hll_native", lambda s, d: _parts(s, d).agg(F.hll_sketch_estimate(F.hll_sketch_agg("item", 10)).alias("estimate"), F.approx_count_distinct("item").alias("approx"), F.count_distinct("item").alias("exact")))
 register("cms_native", lambda s, d: _parts(s, d).agg(F.length(F.count_min_sketch("item", F.lit(0.01), F.lit(0.99), F.lit(42))).alias("bytes")))
 
+# Each state goes through its binary form and back.
+register(
+    "bloom_codec",
+    lambda s, d: codecs.decode(codecs.encode(BLOOM.bits(_buyers(s, d), "item"), "bloom", m=BLOOM.m, k=BLOOM.k), "bloom", "bit: bigint", m=BLOOM.m, k=BLOOM.k),
+    f"with {_bloom_sql(BUYERS_SQL, BLOOM)} select bit from bits",
+)
+register(
+    "cms_codec",
+    lambda s, d: codecs.decode(codecs.encode(CMS.matrix(_parts(s, d), "item"), "count_min", rows=CMS.rows, columns=CMS.columns), "count_min", "row: int, col: bigint, cnt: bigint", rows=CMS.rows, columns=CMS.columns),
+    f"with {_cms_sql(PARTS_SQL)} select * from mat",
+)
+register(
+    "hll_codec",
+    lambda s, d: codecs.decode(codecs.encode(HLL.registers(_parts(s, d), "item"), "hyperloglog", p=HLL.p), "hyperloglog", "bucket: int, rho: int", p=HLL.p),
+    f"with {_hll_sql(PARTS_SQL)} select * from regs",
+)
+
 # --- texts -------------------------------------------------------------------------------------------------------------
 
 _SPACE = r"[\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
@@ -415,7 +454,8 @@ def _fps(spark: SparkSession, d: str) -> DataFrame:
 
 def _with_first(spark: SparkSession, d: str) -> DataFrame:
     """Each document beside the first document of its language and source."""
-    fps = _fps(spark, d).join(table(spark, d, "documents").select("doc_id", "lang", "source"), "doc_id").cache()
+    ordered.ensure_checkpoint_dir(spark)
+    fps = _fps(spark, d).join(table(spark, d, "documents").select("doc_id", "lang", "source"), "doc_id").checkpoint()
     first = fps.groupBy("lang", "source").agg(F.min_by(F.struct("doc_id", "fp_hi", "fp_lo"), "doc_id").alias("f"))
     pairs = fps.join(first, ["lang", "source"])
     distance = simhash.hamming(F.col("fp_hi"), F.col("fp_lo"), F.col("f.fp_hi"), F.col("f.fp_lo"))

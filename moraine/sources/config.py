@@ -25,6 +25,7 @@ class Config:
     memtable_keys: int = 50
     wal_segment_bytes: int = 20_000
     cache_entries: int = 1000
+    single_file_rows: int = 0  # runs of up to so many rows are one file each
 
     def __post_init__(self):
         for name in ("bucket_tokens", "bloom_items", "summary_every", "levels", "memtable_keys", "wal_segment_bytes", "cache_entries"):

@@ -16,6 +16,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from moraine.functions import codecs
+from moraine.functions.sketches import Bloom
 from moraine.operators import blocks, merkle, ordered, scan, versions
 from moraine.sources.config import Config
 
@@ -50,12 +52,13 @@ class RunStore:
         return f"{self.root}/level={level}/run={run}"
 
     def _write(self, rows: DataFrame, level: int, run: int) -> None:
-        sorted_ = rows.repartitionByRange("key").sortWithinPartitions("key", "ts", "seq")
+        single = self.config.single_file_rows > 0 and rows.count() <= self.config.single_file_rows
+        sorted_ = (rows.coalesce(1) if single else rows.repartitionByRange("key")).sortWithinPartitions("key", "ts", "seq")
+        self._fs().delete(self._path(self._beside("filter", level, run)), True)
         writer = sorted_.write.mode("overwrite").option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.fpp#key", str(self.config.run_bloom_rate))
         writer.parquet(self._where(level, run))
         written = self._load([(level, run)])
-        numbered = ordered.numbered(written.select("key", "ts", "seq"), ["key", "ts", "seq"]).withColumn("index_offset", F.col("rn") - 1)
-        blocks.summary(numbered, self.config.summary_every).write.mode("overwrite").parquet(self._beside("summary", level, run))
+        blocks.summary(self.index(level, run), self.config.summary_every).write.mode("overwrite").parquet(self._beside("summary", level, run))
         self._described(written).write.mode("overwrite").parquet(self._beside("meta", level, run))
 
     def _beside(self, kind: str, level: int, run: int) -> str:
@@ -73,6 +76,39 @@ class RunStore:
         read = self.spark.read.option("basePath", f"{self.root}/meta").parquet(*[self._beside("meta", *r) for r in every])
         return read.select(F.col("level").cast("int"), F.col("run").cast("int"), "first_key", "last_key", "n", "root", "leaves")
 
+    def scan(self, level: int, run: int, start: str | None = None) -> DataFrame:
+        """The rows of a run in key order, from a key on if one is given."""
+        rows = self._load([(level, run)])
+        return (rows if start is None else rows.where(F.col("key") >= start)).orderBy("key", "ts", "seq")
+
+    def index(self, level: int, run: int) -> DataFrame:
+        """key, ts, seq, rn and index_offset (rows before it) of each row of a run, its dense index."""
+        rows = self._load([(level, run)]).select("key", "ts", "seq")
+        return ordered.numbered(rows, ["key", "ts", "seq"]).withColumn("index_offset", F.col("rn") - 1)
+
+    def seek(self, level: int, run: int, start: str, n: int) -> DataFrame:
+        """The first n rows of a run from a key on, of the blocks that its summary names."""
+        found = self.summary(level, run).where(F.col("last_key") >= start).orderBy("block").limit(n // self.config.summary_every + 2).agg(F.max("last_key")).first()[0]
+        return self.scan(level, run, start).where(F.col("key") <= (found or "")).orderBy("key", "ts", "seq").limit(n)
+
+    def filter(self, level: int, run: int) -> DataFrame:
+        """The Bloom filter of a run's keys, encoded; written when it is first asked for."""
+        where, bloom = self._beside("filter", level, run), self._bloom(level, run)
+        if not self._fs().exists(self._path(f"{where}/_SUCCESS")):
+            bits = bloom.bits(self._load([(level, run)]), "key")
+            codecs.encode(bits, "bloom", m=bloom.m, k=bloom.k).write.mode("overwrite").parquet(where)
+        return self.spark.read.parquet(where)
+
+    def _bloom(self, level: int, run: int) -> Bloom:
+        n = self.spark.read.parquet(self._beside("meta", level, run)).first().n
+        return Bloom.sized(max(1, n), self.config.run_bloom_rate)
+
+    def may_have(self, level: int, run: int, keys: DataFrame) -> DataFrame:
+        """item and present: whether each key may be in a run, by its filter alone."""
+        bloom = self._bloom(level, run)
+        bits = codecs.decode(self.filter(level, run), "bloom", "bit: bigint", m=bloom.m, k=bloom.k)
+        return bloom.check(bits, keys, "key")
+
     def summary(self, level: int, run: int) -> DataFrame:
         """block, first_key, last_key, offset (rows before it) and n of a run's blocks."""
         return self.spark.read.parquet(self._beside("summary", level, run))
@@ -122,7 +158,7 @@ class RunStore:
         run = max((n for at, n in every if at == level + 1), default=-1) + 1
         self._write(self._compacted(self._load(some), drop_tombstones=oldest), level + 1, run)
         for r in some:
-            for where in (self._where(*r), self._beside("summary", *r), self._beside("meta", *r)):
+            for where in (self._where(*r), *(self._beside(kind, *r) for kind in ("summary", "meta", "filter"))):
                 self._fs().delete(self._path(where), True)
 
     def log(self) -> DataFrame:

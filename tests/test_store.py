@@ -5,9 +5,10 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from moraine.__main__ import described, main
-from moraine.functions import simhash
+from moraine.functions import codecs, simhash
 from moraine.functions.sketches import Bloom, CountMin, HyperLogLog
 from moraine.operators import folds, versions
 from moraine.plans.commands import LOG, CommandError, Engine, RateGate, parse, run_script
@@ -225,3 +226,23 @@ def test_fingerprint_of_a_long_text(spark):
         return fp >> 32, fp & 0xFFFFFFFF
 
     assert got == {1: want(text.split()), 2: want(short.split()), 3: (0, 0)}
+
+
+def test_codecs_and_run_files(spark, tmp_path):
+    bits = spark.createDataFrame([(i,) for i in (1, 5, 9)], "bit bigint")
+    encoded = codecs.encode(bits, "bloom", m=16, k=2)
+    assert sorted(r.bit for r in codecs.decode(encoded, "bloom", "bit: bigint", m=16, k=2).collect()) == [1, 5, 9]
+    assert codecs.decode(codecs.encode(bits.limit(0), "bloom", m=16, k=2), "bloom", "bit: bigint", m=16, k=2).count() == 0
+    for damaged, m in ((encoded.withColumn("crc", F.col("crc") + 1), 16), (encoded, 32)):
+        with pytest.raises(Exception, match="damaged"):
+            codecs.decode(damaged, "bloom", "bit: bigint", m=m, k=2).collect()
+    store = RunStore(spark, str(tmp_path / "s"), SCHEMA, Config(single_file_rows=100, summary_every=4))
+    store.init()
+    store.add(log(spark, [(i, f"k{i:02d}", f"v{i}") for i in range(30)]).repartition(5))
+    assert len(store._load([(0, 0)]).inputFiles()) == 1
+    assert [r.key for r in store.scan(0, 0, "k25").collect()] == [f"k{i}" for i in range(25, 30)]
+    assert [r.key for r in store.seek(0, 0, "k07", 9).collect()] == [f"k{i:02d}" for i in range(7, 16)] and store.seek(0, 0, "z", 3).count() == 0
+    asked = spark.createDataFrame([("k03",), ("k29",), ("absent",)], "key string")
+    for _ in range(2):  # the second time the filter is read
+        found = {r["item"]: r.present for r in store.may_have(0, 0, asked).collect()}
+        assert found["k03"] and found["k29"] and len(found) == 3
