@@ -8,7 +8,7 @@ _QUERIES = {
     "op1_token_counts": (token_counts.op1_token_counts, None),
     "op2_decontamination": (decontaminate.op2_decontamination, decontaminate.ORACLE),
     "op3_toxicity": (toxicity.op3_toxicity, None),
-    "op4_near_duplicates": (minhash.op4_near_duplicates, None),
+    "op4_near_duplicates": (minhash.op4_near_duplicates, minhash.ORACLE),
     "op5_personal_data": (pii.op5_personal_data, None),
     "op6_language_id": (langid.op6_language_id, None),
     "op7_bpe_codec": (bpe.op7_bpe_codec, None),
