@@ -516,7 +516,15 @@ register(
     """with recursive l(level, nodes) as (select cast(0 as integer), count(*) from orders union all select level + 1, (nodes + 1) // 2 from l where nodes > 1)
 select * from l where nodes > 0""",
 )
-register("entry_crc", lambda s, d: event_log(s, d).select("seq", F.crc32(F.col("event_type").cast("binary")).bitwiseXOR(F.lit(0xFFFFFFFF)).alias("crc")))
+register(
+    "entry_crc",
+    lambda s, d: event_log(s, d).select("seq", F.crc32(F.col("event_type").cast("binary")).bitwiseXOR(F.lit(0xFFFFFFFF)).alias("crc")),
+    # The checksum's register bit by bit; event types are ASCII.
+    """with recursive st(k, n, s) as (select distinct event_type, 0, 4294967295::bigint from events
+  union all select k, n + 1, case when x & 1 = 1 then xor(x >> 1, 3988292384::bigint) else x >> 1 end
+  from (select k, n, case when n % 8 = 0 then xor(s, cast(ord(substr(k, n // 8 + 1, 1)) as bigint)) else s end as x from st where n < 8 * strlen(k)))
+select event_id as seq, s as crc from events join st on k = event_type and n = 8 * strlen(k)""",
+)
 
 # --- folds -------------------------------------------------------------------------------------------------------------
 
