@@ -441,7 +441,7 @@ register(
 _SPACE = r"[\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 TOKENS_SQL = f"""toks as (select doc_id, token from (select doc_id, unnest(list_transform(regexp_split_to_array(lower(coalesce(text, '')), '{_SPACE}'),
   lambda w: regexp_replace(w, '[^\\p{{L}}\\p{{N}}]', '', 'g'))) as token from documents)
-  where token <> '' and token not in ('this', 'is', 'a', 'with', 'to', 'the', 'some'))"""
+  where token <> '' and token not in {simhash.STOPWORDS})"""
 _half = lambda name, at: " + ".join(f"case when sum(case when ({name} >> {i}) & 1 = 1 then 1 else -1 end) > 0 then {1 << i}::bigint else 0 end" for i in range(32))
 FP_SQL = f"""{TOKENS_SQL}, hashed as (select doc_id, cast('0x' || substr(m, 1, 8) as bigint) as hi, cast('0x' || substr(m, 9, 8) as bigint) as lo from (select doc_id, md5(token) as m from toks)),
 sums as (select doc_id, {_half('hi', 1)} as hi, {_half('lo', 9)} as lo from hashed group by doc_id),

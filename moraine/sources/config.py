@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, fields
 
+from moraine.functions.simhash import STOPWORDS
+
 
 @dataclass(frozen=True)
 class Config:
@@ -21,7 +23,7 @@ class Config:
     level_threshold: int = 20
     levels: int = 5
     hll_bits: int = 10
-    stopwords: tuple[str, ...] = ("this", "is", "a", "with", "to", "the", "some")
+    stopwords: tuple[str, ...] = STOPWORDS
     memtable_keys: int = 50
     wal_segment_bytes: int = 20_000
     cache_entries: int = 1000
