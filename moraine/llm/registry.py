@@ -12,7 +12,7 @@ _QUERIES = {
     "op5_personal_data": (pii.op5_personal_data, None),
     "op6_language_id": (langid.op6_language_id, None),
     "op7_bpe_codec": (bpe.op7_bpe_codec, None),
-    "op8_substring_dedup": (substring.op8_substring_dedup, None),
+    "op8_substring_dedup": (substring.op8_substring_dedup, substring.ORACLE),
     "op9_warc": (warc.op9_warc, warc.ORACLE),
     "op10_quality": (quality.op10_quality, None),
 }

@@ -95,7 +95,7 @@ def _runs(grouped: DataFrame, min_words: int) -> DataFrame:
         for batch in batches:
             rows = []
             for doc_id, t, found in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                found = sorted({(u["i"], u["start"], u["size"], u["words"], u["later"]) for u in found})
+                found = sorted((u["i"], u["start"], u["size"], u["words"], u["later"]) for u in found)
                 runs: list[list] = []
                 for i, a, n, w, later in found:
                     if later and runs and runs[-1][0] == i - 1:
@@ -130,7 +130,8 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     seen = work.write(seen, "seen")
     later = ~rank.eqNullSafe(F.col("first"))
     unit = F.struct("i", "start", "size", "words", later.alias("later"))
-    found = cut.join(seen, ["d1", "d2"]).groupBy("doc_id", "t").agg(F.collect_list(unit).alias("found"))
+    # A set, combined before the shuffle: a document that stands in many rows has each unit once.
+    found = cut.join(seen, ["d1", "d2"]).groupBy("doc_id", "t").agg(F.collect_set(unit).alias("found"))
     found = _runs(found, min_words)
     sizes = cut.groupBy(F.col("doc_id").alias("d"), F.col("t").alias("dt")).agg((F.max("i") + 1).cast("bigint").alias("n_units"))
     both = sizes.join(found, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("dt") == F.col("t")), "left").drop("doc_id", "t")
@@ -174,3 +175,46 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeated_spans(table(spark, sf_dir, "documents"))
     text = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
     return out.select("doc_id", "n_units", "n_shared", "n_removed", "removed_words", text.alias("spans"), (F.col("n_removed") > 0).alias("has_repeats"))
+
+
+#: White space as Python's str.split sees it.
+_SPACE = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+#: For distinct doc_ids. A unit is the sentences of a line up to one of MIN_SENTENCE words or more.
+ORACLE = rf"""
+with lines as (
+    select doc_id, string_split(text, chr(10)) as all_lines from documents where text is not null
+), line as (
+    select doc_id, unnest(all_lines) as line, unnest(range(len(all_lines))) as l from lines
+), placed as (
+    select doc_id, l, line, coalesce(sum(length(line) + 1) over (partition by doc_id order by l rows between unbounded preceding and 1 preceding), 0) as line_start from line
+), parts as (
+    select doc_id, l, line_start, regexp_extract_all(line, '(?s).*?[.!?]+[{_SPACE}]+|.+') as all_parts from placed
+), part as (
+    select doc_id, l, line_start, unnest(all_parts) as part, unnest(range(len(all_parts))) as p from parts
+), sentence as (
+    select *, len(regexp_extract_all(part, '[^{_SPACE}]+')) as n,
+        line_start + coalesce(sum(length(part)) over (partition by doc_id, l order by p rows between unbounded preceding and 1 preceding), 0) as pos from part
+), grouped as (
+    select *, coalesce(sum((n >= {MIN_SENTENCE})::int) over (partition by doc_id, l order by p rows between unbounded preceding and 1 preceding), 0) as g from sentence
+), joined as (
+    select doc_id, l, g, min(pos) as a, max(pos + length(part)) as b, string_agg(part, '' order by p) as unit from grouped group by doc_id, l, g
+), cut as (
+    select doc_id, a, b, regexp_extract_all(unit, '[^{_SPACE}]+') as found from joined
+), units as (
+    select doc_id, a, b, len(found) as words, lower(array_to_string(found, ' ')) as unit, row_number() over (partition by doc_id order by a) as i from cut where len(found) > 0
+), ranked as (
+    select *, count(*) over (partition by unit) as c, row_number() over (partition by unit order by doc_id, a) > 1 as later from units
+), islands as (
+    select *, i - row_number() over (partition by doc_id, later order by i) as island from ranked
+), spans as (
+    select doc_id, min(a) as a, max(b) as b, count(*) as n, sum(words) as words from islands where later group by doc_id, island
+), removed as (
+    select doc_id, sum(n) as n_removed, sum(words) as removed_words, string_agg(a || ':' || b, ',' order by a) as spans from spans group by doc_id
+), counted as (
+    select doc_id, count(*) as n_units, count(*) filter (c > 1) as n_shared from ranked group by doc_id
+)
+select doc_id, coalesce(n_units, 0)::bigint as n_units, coalesce(n_shared, 0)::bigint as n_shared, coalesce(n_removed, 0)::bigint as n_removed,
+    coalesce(removed_words, 0)::bigint as removed_words, coalesce(spans, '') as spans, coalesce(n_removed, 0) > 0 as has_repeats
+from documents left join counted using (doc_id) left join removed using (doc_id)
+"""
