@@ -1,7 +1,7 @@
-"""Operator 8: substring deduplication by hashing lines and the sentences in them.
+"""Operator 8: substring deduplication by hashing lines and the clauses in them.
 
-A unit is a line, or a part of it that ends after a sentence of at least
-``MIN_SENTENCE`` words (where a part ends depends on the nearby words alone, so
+A unit is a line, or a part of it that ends after a clause of at least
+``MIN_CLAUSE`` words (where a part ends depends on the nearby words alone, so
 equal passages are cut alike wherever they stand). Units are normalised (lower
 case, white space as one space) and hashed. Digests are grouped globally with
 partial counts; the occurrence with the smallest (doc_id, offset) is the first.
@@ -23,9 +23,11 @@ from pyspark.sql import functions as F
 
 from moraine.llm.common import Workspace, fresh, map_texts, release, table
 
-#: Words of a sentence that ends a unit, and of a run of later occurrences that is removed (1: all are).
-MIN_SENTENCE, MIN_WORDS = 4, 1
-_END = re.compile(r"[.!?]+\s+")
+#: Words of a clause that ends a unit, and of a run of later occurrences that is removed (1: all are).
+MIN_CLAUSE, MIN_WORDS = 4, 1
+#: Words of a removed run from which on a text is reported to hold a long repeat.
+LONG_RUN = 20
+_END = re.compile(r"[.!?,;:]+\s+")
 
 
 def units(text: str) -> list[tuple[int, int, int, str]]:
@@ -36,7 +38,7 @@ def units(text: str) -> list[tuple[int, int, int, str]]:
         ends = [m.end() for m in _END.finditer(line)] + [len(line)]
         for end in ends:
             last = line[at:end].split()
-            if len(last) < MIN_SENTENCE and end < len(line):
+            if len(last) < MIN_CLAUSE and end < len(line):
                 at = end
                 continue
             words = line[begin:end].split()
@@ -88,8 +90,8 @@ def _units(docs: DataFrame) -> DataFrame:
 
 
 def _runs(grouped: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, t, n_repeated, n_removed, words and spans of the documents' repeated units."""
-    schema = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("n_shared", pa.int64()), ("n_removed", pa.int64()), ("removed_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
+    """doc_id, t, n_shared, n_removed, removed_words, longest_run and spans of the documents' repeated units."""
+    schema = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("n_shared", pa.int64()), ("n_removed", pa.int64()), ("removed_words", pa.int64()), ("longest_run", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,19 +106,20 @@ def _runs(grouped: DataFrame, min_words: int) -> DataFrame:
                     elif later:
                         runs.append([i, a, a + n, w, 1])
                 kept = [r for r in runs if r[3] >= min_words]
-                rows.append((doc_id, t, len(found), sum(r[4] for r in kept), sum(r[3] for r in kept), [{"start": r[1], "end": r[2]} for r in kept]))
+                rows.append((doc_id, t, len(found), sum(r[4] for r in kept), sum(r[3] for r in kept), max((r[3] for r in kept), default=0), [{"start": r[1], "end": r[2]} for r in kept]))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
         release()
 
-    return map_texts(grouped, run, "doc_id bigint, t bigint, n_shared bigint, n_removed bigint, removed_words bigint, spans array<struct<start:int,end:int>>")
+    return map_texts(grouped, run, "doc_id bigint, t bigint, n_shared bigint, n_removed bigint, removed_words bigint, longest_run bigint, spans array<struct<start:int,end:int>>")
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, n_units, n_shared, n_removed, removed_words and spans, a row for each row of docs.
+    """doc_id, n_units, n_shared, n_removed, removed_words, longest_run and spans, a row for each row of docs.
 
     n_shared counts units whose digest occurs more than once, n_removed those in
     the removed spans (start, end in code points, end exclusive): every
-    occurrence but the first, unless min_words spares runs of fewer words. Units
+    occurrence but the first, unless min_words spares runs of fewer words;
+    longest_run is the number of words of the longest of them. Units
     without words and null texts have no digest. Rows with equal doc_id and text are one
     document: they share their values and keep a row each, also where doc_id is
     null (null ranks last). An empty table gives no rows. Only doc_id and text
@@ -139,7 +142,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     out = rows.join(both, rows["doc_id"].eqNullSafe(both["d"]) & (rows["t"] == both["dt"]), "left")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
     none = F.array().cast("array<struct<start:int,end:int>>")
-    return out.select("doc_id", zero("n_units"), zero("n_shared"), zero("n_removed"), zero("removed_words"), F.coalesce("spans", none).alias("spans"), "t")
+    return out.select("doc_id", zero("n_units"), zero("n_shared"), zero("n_removed"), zero("removed_words"), zero("longest_run"), F.coalesce("spans", none).alias("spans"), "t")
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -174,13 +177,13 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeated_spans(table(spark, sf_dir, "documents"))
     text = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
-    return out.select("doc_id", "n_units", "n_shared", "n_removed", "removed_words", text.alias("spans"), (F.col("n_removed") > 0).alias("has_repeats"))
+    return out.select("doc_id", "n_units", "n_shared", "n_removed", "removed_words", "longest_run", text.alias("spans"), (F.col("n_removed") > 0).alias("has_repeats"), (F.col("longest_run") >= LONG_RUN).alias("has_long_repeats"))
 
 
 #: White space as Python's str.split sees it.
 _SPACE = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
-#: For distinct doc_ids. A unit is the sentences of a line up to one of MIN_SENTENCE words or more.
+#: For distinct doc_ids. A unit is the clauses of a line up to one of MIN_CLAUSE words or more.
 ORACLE = rf"""
 with lines as (
     select doc_id, string_split(text, chr(10)) as all_lines from documents where text is not null
@@ -189,14 +192,14 @@ with lines as (
 ), placed as (
     select doc_id, l, line, coalesce(sum(length(line) + 1) over (partition by doc_id order by l rows between unbounded preceding and 1 preceding), 0) as line_start from line
 ), parts as (
-    select doc_id, l, line_start, regexp_extract_all(line, '(?s).*?[.!?]+[{_SPACE}]+|.+') as all_parts from placed
+    select doc_id, l, line_start, regexp_extract_all(line, '(?s).*?[.!?,;:]+[{_SPACE}]+|.+') as all_parts from placed
 ), part as (
     select doc_id, l, line_start, unnest(all_parts) as part, unnest(range(len(all_parts))) as p from parts
-), sentence as (
+), clause as (
     select *, len(regexp_extract_all(part, '[^{_SPACE}]+')) as n,
         line_start + coalesce(sum(length(part)) over (partition by doc_id, l order by p rows between unbounded preceding and 1 preceding), 0) as pos from part
 ), grouped as (
-    select *, coalesce(sum((n >= {MIN_SENTENCE})::int) over (partition by doc_id, l order by p rows between unbounded preceding and 1 preceding), 0) as g from sentence
+    select *, coalesce(sum((n >= {MIN_CLAUSE})::int) over (partition by doc_id, l order by p rows between unbounded preceding and 1 preceding), 0) as g from clause
 ), joined as (
     select doc_id, l, g, min(pos) as a, max(pos + length(part)) as b, string_agg(part, '' order by p) as unit from grouped group by doc_id, l, g
 ), cut as (
@@ -210,11 +213,12 @@ with lines as (
 ), spans as (
     select doc_id, min(a) as a, max(b) as b, count(*) as n, sum(words) as words from islands where later group by doc_id, island
 ), removed as (
-    select doc_id, sum(n) as n_removed, sum(words) as removed_words, string_agg(a || ':' || b, ',' order by a) as spans from spans group by doc_id
+    select doc_id, sum(n) as n_removed, sum(words) as removed_words, max(words) as longest_run, string_agg(a || ':' || b, ',' order by a) as spans from spans group by doc_id
 ), counted as (
     select doc_id, count(*) as n_units, count(*) filter (c > 1) as n_shared from ranked group by doc_id
 )
 select doc_id, coalesce(n_units, 0)::bigint as n_units, coalesce(n_shared, 0)::bigint as n_shared, coalesce(n_removed, 0)::bigint as n_removed,
-    coalesce(removed_words, 0)::bigint as removed_words, coalesce(spans, '') as spans, coalesce(n_removed, 0) > 0 as has_repeats
+    coalesce(removed_words, 0)::bigint as removed_words, coalesce(longest_run, 0)::bigint as longest_run,
+    coalesce(spans, '') as spans, coalesce(n_removed, 0) > 0 as has_repeats, coalesce(longest_run, 0) >= {LONG_RUN} as has_long_repeats
 from documents left join counted using (doc_id) left join removed using (doc_id)
 """

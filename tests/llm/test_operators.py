@@ -280,7 +280,7 @@ def test_contexts_reach_any_distance():
 
 
 def brute_units(text):
-    """Units character by character: they end at a line's end, and after a sentence mark and blanks if the last four words or more follow the mark before."""
+    """Units character by character: they end at a line's end, and after a clause's mark and blanks if the last four words or more follow the mark before."""
     begin = sentence = i = 0
     while i <= len(text):
         if i == len(text) or text[i] == "\n":
@@ -289,7 +289,7 @@ def brute_units(text):
             begin = sentence = i = i + 1
             continue
         j = i
-        while j < len(text) and text[j] in ".!?":
+        while j < len(text) and text[j] in ".!?,;:":
             j += 1
         k = j
         while j > i and k < len(text) and text[k] != "\n" and text[k].isspace():
@@ -305,7 +305,7 @@ def brute_units(text):
 
 def test_substring_brute(spark, edges):
     r = random.Random(5)
-    line = lambda: "".join(r.choice("abcdefgh") * 2 + r.choice([" ", " ", " ", ". ", "!? ", "  ", "."]) for _ in range(r.randrange(1, 40)))
+    line = lambda: "".join(r.choice("abcdefgh") * 2 + r.choice([" ", " ", " ", ". ", "!? ", ", ", ":", "  ", "."]) for _ in range(r.randrange(1, 40)))
     pool = [line() for _ in range(12)]
     docs = [(i, "\n".join(r.choice(pool) if r.random() < 0.5 else line() for _ in range(r.randrange(6)))) for i in range(40)] + [(50, None)]
     seen, want = set(), {}
@@ -330,11 +330,22 @@ def test_substring_brute(spark, edges):
 def test_substring_removes_short_repeats(spark):
     long = "one two three four five six seven eight nine ten"
     docs = spark.createDataFrame([(1, f"Read more\n{long}\nfirst"), (2, f"other\nread  MORE\nmiddle\n{long}"), (3, "Read more\nRead more\nlast")], "doc_id bigint, text string").repartition(3)
-    got = {r.doc_id: (r.n_removed, r.removed_words) for r in substring.repeated_spans(docs).collect()}
-    assert got == {1: (0, 0), 2: (2, 12), 3: (2, 4)}
+    got = {r.doc_id: (r.n_removed, r.removed_words, r.longest_run) for r in substring.repeated_spans(docs).collect()}
+    assert got == {1: (0, 0, 0), 2: (2, 12, 10), 3: (2, 4, 4)}
     assert {r.doc_id: r.text.split() for r in substring.without_repeats(docs).collect()} == {1: f"Read more {long} first".split(), 2: ["other", "middle"], 3: ["last"]}
 
 
+def test_substring_catches_passages_in_mid_sentence(spark):
+    """A passage of 60 words, cut off within sentences at both ends, is one long run; repeated rows change nothing."""
+    r = random.Random(9)
+    words = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(6)) + r.choice(["", "", "", "", "", ","]) for _ in range(n))
+    passage = words(60)
+    rows = [(i, f"{words(30)} {passage} {words(30)}") for i in range(4)] + [(9, words(120))]
+    docs = spark.createDataFrame(rows * 3, "doc_id bigint, text string").repartition(3)
+    got = {x.doc_id: x.longest_run for x in substring.repeated_spans(docs).collect()}
+    assert got[0] == got[9] == 0 and all(30 <= got[i] <= 60 for i in (1, 2, 3))
+
+
 # --- WARC
 
 
