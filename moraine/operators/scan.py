@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moraine.operators import versions
+from moraine.operators.ordered import numbered
 
 RESERVED = {"bf_": "bloom", "cms_": "count_min", "hll_": "hyperloglog", "sh_": "simhash"}
 
@@ -34,13 +35,22 @@ def range_scan(log: DataFrame, start: str, end: str) -> DataFrame:
     return versions.current(log.where(F.col("key").between(start, end)))
 
 
-def page(view: DataFrame, number: int, size: int) -> DataFrame:
-    """The 1-based page of a view in key order; page 0 is page 1."""
+#: Rows up to the end of a page that a task may hold; deeper pages are found by their first and last key.
+HELD = 100_000
+
+
+def page(view: DataFrame, number: int, size: int, held: int = HELD) -> DataFrame:
+    """The 1-based page of a view, which has a key once, in key order; page 0 is page 1."""
     if size <= 0:
         raise ValueError("the page size must be positive")
     if number < 0:
         raise ValueError("the page number must not be negative")
-    return view.orderBy("key").offset((max(number, 1) - 1) * size).limit(size)
+    skipped = (max(number, 1) - 1) * size
+    if skipped + size <= held:
+        return view.orderBy("key").offset(skipped).limit(size)
+    ends = numbered(view.select("key"), ["key"]).where(F.col("rn").between(skipped + 1, skipped + size)).agg(F.min("key"), F.max("key")).first()
+    # The filter on keys reaches the scan.
+    return view.where(F.col("key").between(*map(F.lit, ends))).orderBy("key")
 
 
 def memtable_prefix(log: DataFrame, prefix: str) -> DataFrame:

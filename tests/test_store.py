@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from moraine.__main__ import described, main
 from moraine.functions import codecs, simhash
 from moraine.functions.sketches import Bloom, CountMin, HyperLogLog
-from moraine.operators import folds, versions
+from moraine.operators import folds, scan, versions
 from moraine.plans.commands import LOG, CommandError, Engine, RateGate, parse, run_script
 from moraine.sources import frames
 from moraine.sources.config import Config
@@ -246,3 +246,23 @@ def test_codecs_and_run_files(spark, tmp_path):
     for _ in range(2):  # the second time the filter is read
         found = {r["item"]: r.present for r in store.may_have(0, 0, asked).collect()}
         assert found["k03"] and found["k29"] and len(found) == 3
+
+
+def test_pages_of_any_depth(spark):
+    view = spark.range(57).select(F.format_string("k%03d", F.col("id")).alias("key"), (F.col("id") * 2).alias("rn")).repartition(5)
+    for number, size in [(0, 5), (1, 10), (4, 7), (6, 10), (7, 10), (2, 57)]:
+        flat, deep = ([(r.key, r.rn) for r in scan.page(view, number, size, held).collect()] for held in (10**6, 0))
+        assert flat == deep, (number, size)
+
+
+def test_sketches_begin_anew(spark):
+    engine = Engine(spark)
+
+    def say(line):
+        said = engine.execute(line)
+        return [] if said is None else [r.value for r in said.collect()]
+
+    assert say("bf add bf_a x") == ["Key not found"] and say("bf new bf_a") == [] == say("bf add bf_a x")
+    assert say("bf check bf_a x") == ["present"] and say("bf new bf_a") == [] and say("bf check bf_a x") == ["not present"]
+    again = Engine(spark, engine.log())
+    assert again._begun("bf_a") == engine.begun["bf_a"] and again._begun("bf_b") is None
