@@ -1,7 +1,8 @@
 """Operator 5: personal data by base patterns and bootstrapped contextual extraction.
 
-Base spans come from fixed patterns with checks, one kind at a time. They are
-the seeds of a bootstrapping: the words around a seed make lexical patterns (the
+Base spans come from fixed patterns with checks, one kind at a time; values that
+are assigned to a credential's name, such as token = "...", are spans of a kind
+of their own, secret. They are the seeds of a bootstrapping: the words around a seed make lexical patterns (the
 two words before; the word before and the word after), and other identifier-like
 tokens and runs of digit groups in the same contexts are candidate instances.
 Spark scores patterns and instances in turn on the pattern-instance graph, as
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from moraine.llm.common import Workspace, fresh, map_texts, release, small_batches, table
 
 KINDS = ("email", "ip", "card", "phone")
+ALL_KINDS = (*KINDS, "secret")
 #: Patterns up to which they are broadcast for redaction, about 100 bytes each.
 BROADCAST_PATTERNS = 200_000
 #: Steps of the graph, and what a pattern needs: distinct seeds, share of seeds among its instances by weight.
@@ -38,6 +40,7 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+_SECRET = re.compile(r"(?:(?:api|access|auth|private)[_ -]?key|token|secret|passw(?:or)?d|credential)s?[\"']?\s*[:=]\s*[\"']?([a-z0-9+/_=.~-]{7,}[a-z0-9+/_=~-])", re.IGNORECASE | re.ASCII)
 _DIGIT = re.compile(r"[0-9]")
 _GROUPS = re.compile(r"[(\[]?[0-9]++(?:[ \u00a0.()\[\]\u2010-\u2015-]{1,3}[0-9]++)++")
 _EDGE = ".,;:!?\"'()<>[]{}|=#*&$"
@@ -100,6 +103,14 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return [(a, KINDS[k], b) for a, k, b in sorted(out)]
 
 
+def secret_spans(text: str) -> list[tuple[int, str, int]]:
+    """(start, "secret", end) of the values of credentials: 8 characters or more with a letter and a digit."""
+    if "=" not in text and ":" not in text:
+        return []
+    found = [m.span(1) for m in _SECRET.finditer(text)]
+    return [(a, "secret", b) for a, b in found if _DIGIT.search(text, a, b) and any(map(str.isalpha, text[a:b]))]
+
+
 def listed(spans) -> str:
     return ",".join(f"{kind}:{a}:{b}" for a, kind, b in spans)
 
@@ -203,24 +214,24 @@ def outermost(added: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
 
 def together(base: list[tuple[int, str, int]], added: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
     """Base and added spans by start, then kind."""
-    return sorted([*base, *added], key=lambda s: (s[0], KINDS.index(s[1]), s[2]))
+    return sorted([*base, *added], key=lambda s: (s[0], ALL_KINDS.index(s[1]), s[2]))
 
 
 def all_spans(text: str, patterns: dict[str, tuple[float, str]]) -> list[tuple[int, str, int]]:
-    """The base spans and those that the patterns (score and kind) add."""
-    base, added = base_spans(text), []
+    """The base spans and secrets, and those that the patterns (score and kind) add."""
+    base, added = [*base_spans(text), *secret_spans(text)], []
     for a, b, kind, _, around in _instances(text, base):
         found = [patterns[p] for p in around if p in patterns] if kind is None else []
         if found:
-            added.append((a, min(found, key=lambda x: (-x[0], KINDS.index(x[1])))[1], b))
+            added.append((a, min(found, key=lambda x: (-x[0], ALL_KINDS.index(x[1])))[1], b))
     return together(base, outermost(added))
 
 
 _SCHEMA = pa.schema([
-    ("doc_id", pa.int64()), ("t", pa.int64()), ("base", pa.string()), *[(f"n_{k}", pa.int64()) for k in KINDS], ("base_sha256", pa.string()),
+    ("doc_id", pa.int64()), ("t", pa.int64()), ("base", pa.string()), *[(f"n_{k}", pa.int64()) for k in KINDS], ("base_sha256", pa.string()), ("secrets", pa.string()), ("n_secret", pa.int64()),
     ("found", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("instance", pa.string()), ("patterns", pa.list_(pa.string()))]))),
 ])
-_DDL = "doc_id bigint, t bigint, base string, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, found array<struct<start:int,end:int,kind:string,instance:string,patterns:array<string>>>"
+_DDL = "doc_id bigint, t bigint, base string, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, secrets string, n_secret bigint, found array<struct<start:int,end:int,kind:string,instance:string,patterns:array<string>>>"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,11 +239,11 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns: list[list] = [[] for _ in _SCHEMA]
         for doc_id, scalar, t in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
             text = scalar.as_py() or ""
-            spans = base_spans(text)
+            spans, secrets = base_spans(text), secret_spans(text)
             base = listed(spans)
             counts = [sum(k == kind for _, k, _ in spans) for kind in KINDS]
-            found = [{"start": a, "end": b, "kind": kind, "instance": word, "patterns": list(around)} for a, b, kind, word, around in _instances(text, spans)]
-            for c, x in zip(columns, (doc_id, t, base, *counts, hashlib.sha256(base.encode()).hexdigest(), found)):
+            found = [{"start": a, "end": b, "kind": kind, "instance": word, "patterns": list(around)} for a, b, kind, word, around in _instances(text, [*spans, *secrets])]
+            for c, x in zip(columns, (doc_id, t, base, *counts, hashlib.sha256(base.encode()).hexdigest(), listed(secrets), len(secrets), found)):
                 c.append(x)
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA)], schema=_SCHEMA)
     release()
@@ -250,7 +261,7 @@ def discovered(found: DataFrame, work: Workspace, rounds: int = ROUNDS, min_seed
     size = edges.count()
     bases = edges.where("kind is not null").select("instance", F.col("kind").alias("known")).distinct()
     promoted = work.write(bases.limit(0), "promoted", 0)
-    order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("of"))
+    order = F.array_position(F.array(*map(F.lit, ALL_KINDS)), F.col("of"))
     mean = lambda of: F.sum(F.col("weight") * F.col(of)) / F.sum("weight")
     while True:
         labelled = edges.join(promoted, "instance", "left").withColumn("kind", F.coalesce("kind", "known")).drop("known")
@@ -287,23 +298,23 @@ def _each(scanned: DataFrame) -> DataFrame:
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """spans and n_added of rows with base and added spans."""
+    """spans and n_added of rows with base spans, secrets and added spans."""
     for batch in batches:
         spans, n_added = [], []
-        for base, found in zip(batch.column("base").to_pylist(), batch.column("added").to_pylist()):
+        for base, secrets, found in zip(*(batch.column(c).to_pylist() for c in ("base", "secrets", "added"))):
             added = outermost([(x["start"], x["kind"], x["end"]) for x in found or ()])
-            known = [(int(a), kind, int(b)) for kind, a, b in (x.split(":") for x in base.split(",") if x)]
-            spans.append(listed(together(known, added)) if added else base)
+            known = [(int(a), kind, int(b)) for kind, a, b in (x.split(":") for x in f"{base},{secrets}".split(",") if x)]
+            spans.append(listed(together(known, added)) if added or secrets else base)
             n_added.append(len(added))
-        keep = [c for c in batch.schema.names if c not in ("base", "added")]
+        keep = [c for c in batch.schema.names if c not in ("base", "secrets", "added")]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(spans, pa.string()), pa.array(n_added, pa.int64())], names=[*keep, "spans", "n_added"])
     release()
 
 
 def personal_data(docs: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, n_personal, has_personal_data and t, a row for each row of docs.
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, n_secret, n_personal, has_personal_data and t, a row for each row of docs.
 
-    The counts and the digest are of the base spans; spans lists base and added
+    The counts and the digest are of the base spans; spans lists base spans, secrets and added
     spans as kind:start:end in code points, by start, then kind; n_personal is
     their number. Null and empty texts have none; texts of any length are read
     whole. Rows with equal doc_id and text share their added spans and keep a row
@@ -314,7 +325,7 @@ def personal_data(docs: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SE
     scanned = _scanned(docs, work)
     each = _each(scanned)
     patterns = work.write(discovered(each.select("pattern", "kind", "instance"), work, rounds, min_seeds, confidence), "found")
-    order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
+    order = F.array_position(F.array(*map(F.lit, ALL_KINDS)), F.col("kind"))
     added = each.where("kind is null").drop("kind").join(patterns, "pattern")
     added = added.groupBy("doc_id", "t", "start", "end").agg(F.min_by("kind", F.struct(-F.col("score"), order)).alias("kind"))
     added = added.groupBy("doc_id", "t").agg(F.collect_list(F.struct("start", "kind", "end")).alias("added")).select(F.col("doc_id").alias("a_id"), F.col("t").alias("a_t"), "added")
@@ -322,10 +333,10 @@ def personal_data(docs: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SE
     work.only(scanned, added)
     both = scanned.drop("found").join(added, F.col("doc_id").eqNullSafe(F.col("a_id")) & (F.col("t") == F.col("a_t")), "left")
     counts = [f"n_{k}" for k in KINDS]
-    both = both.select("doc_id", "t", "base", "added", *counts, "base_sha256")
-    ddl = "doc_id bigint, t bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_added bigint"
-    out = map_texts(both, _listed, ddl).withColumn("n_personal", sum((F.col(c) for c in counts), F.col("n_added")))
-    return out.select("doc_id", *counts, "base_sha256", "spans", "n_added", "n_personal", (F.col("n_personal") > 0).alias("has_personal_data"), "t")
+    both = both.select("doc_id", "t", "base", "secrets", "added", *counts, "base_sha256", "n_secret")
+    ddl = "doc_id bigint, t bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, n_secret bigint, spans string, n_added bigint"
+    out = map_texts(both, _listed, ddl).withColumn("n_personal", sum((F.col(c) for c in [*counts, "n_secret"]), F.col("n_added")))
+    return out.select("doc_id", *counts, "base_sha256", "spans", "n_added", "n_secret", "n_personal", (F.col("n_personal") > 0).alias("has_personal_data"), "t")
 
 
 def redacted(text: str, spans: list[tuple[int, str, int]]) -> str:

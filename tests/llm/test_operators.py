@@ -269,6 +269,18 @@ def test_bootstrapping_in_two_hops(spark):
         assert texts[99] == "The night hotline answers [PHONE] always." and texts[98] == "The order 777-8888-123 shipped."
 
 
+def test_secrets(spark):
+    texts = ['the token = "04dbebab91ab85687d33" ends', "API_KEY: sk-1a2b3c4d5e, a@b.example", "a token of esteem: none, secret: nothing1", "password=hunter42x. token=short1", "token = " + " " * 50_000 + "x", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id: r for r in pii.personal_data(docs).collect()}
+    assert [got[i].n_secret for i in range(6)] == [1, 1, 1, 1, 0, 0] and [got[i].n_personal for i in range(6)] == [1, 2, 1, 1, 0, 0]
+    assert got[0].spans == "secret:13:33" and got[1].spans == "secret:9:22,email:24:35" and got[0].base_sha256 == hashlib.sha256(b"").hexdigest()
+    assert got[3].spans == "secret:9:18"
+    for most in (pii.BROADCAST_PATTERNS, 0):
+        cut = {r.doc_id: r.text for r in pii.without_personal_data(docs, most).collect()}
+        assert cut[0] == 'the token = "[SECRET]" ends' and cut[1] == "API_KEY: [SECRET], [EMAIL]" and cut[4] == texts[4] and cut[5] is None
+
+
 def test_contexts_reach_any_distance():
     text = "number" + " " * 500 + ": (" + " " * 300 + "555-0199-4471" + " " * 400 + "w" * 90
     (a, b, kind, word, around), = pii._instances(text, [])
