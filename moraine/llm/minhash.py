@@ -297,7 +297,9 @@ def kept_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     rows = near_duplicates(docs, k, percent).where("group_id is not null")
     rows = work.write(rows.groupBy("doc_id", "text_key", "group_id", "kept").agg(F.count("*").alias("n")), "rows")
     first = rows.where("kept").groupBy("group_id").agg(F.min("text_key").alias("first_key"))
-    marked = rows.join(first, "group_id").withColumn("stays", F.col("kept") & (F.col("text_key") == F.col("first_key")))
+    # Each group has a kept row; the others need no look at their group, however large it is.
+    marked = rows.where("kept").join(first, "group_id").select("doc_id", "text_key", "n", (F.col("text_key") == F.col("first_key")).alias("stays"))
+    marked = marked.unionByName(rows.where("not kept").select("doc_id", "text_key", "n", F.lit(False).alias("stays")))
     name, key = fresh(docs.columns, "gone_id", "gone_key")
     same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(name)) & (text_key(F.col("text").cast("string")) == F.col(key))
 
