@@ -1,26 +1,28 @@
 """Operator 10: quality rules and a hashed n-gram log-likelihood ratio, in DataFrame operations alone.
 
 The hashed n-grams of a text are its words and its pairs of neighbouring words,
-each whole, in ``BUCKETS`` buckets. Their counts over one half of the trusted
+each whole, in ``BUCKETS`` buckets. Their counts over one half of all trusted
 documents (labelled quality 1) and over the whole raw corpus make two smoothed
 multinomials; a document's score is the mean over its n-grams of
 log p_trusted - log p_raw, so it doesn't depend on length.
 
 The threshold is a rule, not a constant: the score that ``SPARED`` of the other
-half of the trusted documents, which the multinomials haven't seen, fall under.
-Every document is held against it alike.
+half of the trusted documents, which the trusted multinomial hasn't seen, fall
+under. Every document is held against it alike.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moraine.llm.common import table, window_hashes
+from moraine.llm.common import Workspace, table, window_hashes
 
 BUCKETS, SMOOTHING, SPARED = 1 << 15, 0.5, 0.002
-#: Trusted labelled rows, chosen by a hash of doc_id, about this many at most.
-SAMPLE = 20_000
+#: Up to this many fitted doc_ids are broadcast, in lists of about LIST; beyond that documents are joined with the lists by a shuffle.
+BROADCAST_IDS, LIST = 5_000_000, 64
 WINDOW, MIN_WORDS, MOST_REPEATED = 8, 20, 30
 _WORD = r"[^\x20\x09-\x0D]"
 SYMBOLS = "#*$%&|<>"
@@ -52,22 +54,25 @@ def _bucket(gram: Column) -> Column:
     return gram.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
-def trusted(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """trusted_id and fitted: distinct trusted doc_ids, at most about ``sample``, and whether the multinomial has them."""
+def trusted(labels: DataFrame) -> DataFrame:
+    """trusted_id and fitted: every distinct trusted doc_id, and whether the multinomial has it; the threshold has the others."""
     ids = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("bigint").alias("trusted_id")).distinct()
-    n = ids.count()
-    if n > sample:
-        ids = ids.where(F.pmod(F.xxhash64("trusted_id"), F.lit(1_000_000)) < int(1_000_000 * sample / n))
     return ids.withColumn("fitted", F.pmod(F.xxhash64("trusted_id", F.lit("half")), F.lit(2)) == 0)
 
 
-def log_ratios(docs: DataFrame, known: DataFrame) -> list[float]:
+def log_ratios(docs: DataFrame, known: DataFrame, most: int = BROADCAST_IDS) -> list[float]:
     """log p_trusted - log p_raw of each bucket. Without trusted n-grams all are 0."""
-    fitted = known.where("fitted").select("trusted_id")
-    rows = docs.select(F.col("doc_id").cast("bigint"), "text").join(F.broadcast(fitted), F.col("doc_id") == F.col("trusted_id"), "left")
+    fitted = known.where("fitted")
+    n = fitted.count()
+    slot = lambda doc_id: F.pmod(F.xxhash64(doc_id), F.lit(1 + n // LIST))
+    lists = fitted.groupBy(slot("trusted_id").alias("slot")).agg(F.collect_list("trusted_id").alias("ids"))
+    lists = F.broadcast(lists) if n <= most else lists
+    rows = docs.select(F.col("doc_id").cast("bigint"), "text").withColumn("in", slot("doc_id")).join(lists, F.col("in") == F.col("slot"), "left")
+    good = F.coalesce(F.array_contains("ids", F.col("doc_id")), F.lit(False)).cast("bigint")
     # N-grams are exploded as a column: what follows is generated code with partial counts of BUCKETS rows a task.
-    rows = _hashed(rows.select(F.col("trusted_id").isNotNull().cast("bigint").alias("t"), words().alias("words")), {2: "p"})
-    rows = rows.select("t", F.concat("h", "p").alias("grams")).select("t", F.explode("grams").alias("gram"))
+    # A plain explode would have the words made again, in a filter before the join; a null n-gram is in no bucket.
+    rows = _hashed(rows.select(good.alias("t"), words().alias("words")), {2: "p"})
+    rows = rows.select("t", F.concat("h", "p").alias("grams")).select("t", F.explode_outer("grams").alias("gram"))
     counts = rows.select("t", _bucket(F.col("gram")).alias("b")).groupBy("b").agg(F.count("*").alias("raw"), F.sum("t").alias("good"))
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left").fillna(0, ["raw", "good"])
     row = every.agg(F.array_sort(F.collect_list(F.struct("b", "raw", "good"))).alias("c"), F.sum("raw").alias("raws"), F.sum("good").alias("goods"))
@@ -115,15 +120,24 @@ def measured(docs: DataFrame, ratios: list[float]) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "score")
 
 
-def threshold(docs: DataFrame, known: DataFrame, ratios: list[float], spared: float = SPARED) -> float | None:
-    """The score under which ``spared`` of the trusted rows lie that were not fitted and pass the base rules; None without such rows."""
-    apart = known.where("not fitted").select("trusted_id")
-    rows = docs.select("doc_id", "text").join(F.broadcast(apart), F.col("doc_id").cast("bigint") == F.col("trusted_id"), "left_semi")
-    # A filter would be pushed down as a copy of the whole expression; nulls count nothing.
-    return measured(rows, ratios).select(F.when(~F.col("base_failed"), F.col("score")).alias("s")).agg(F.percentile("s", F.lit(spared)).alias("q")).first().q
-
+def threshold(rows: DataFrame, known: DataFrame, spared: float = SPARED) -> float | None:
+    """The score under which ``spared`` of the trusted rows lie that were not fitted and pass the base rules; None without such rows.
 
-def quality(docs: DataFrame, labels: DataFrame, spared: float = SPARED, sample: int = SAMPLE) -> DataFrame:
+    ``rows`` are measured ones. It is the exact percentile, interpolated; no
+    task holds more scores than those up to it.
+    """
+    apart = known.where("not fitted")
+    scores = rows.where("not base_failed").join(apart, F.col("doc_id") == F.col("trusted_id"), "left_semi").select("score")
+    n = scores.count()
+    if not n:
+        return None
+    at = (n - 1) * spared
+    k = math.floor(at)
+    two = scores.orderBy("score").offset(k).limit(2).agg(F.min("score").alias("lo"), F.max("score").alias("hi")).first()
+    return two.lo if two.lo == two.hi else (k + 1 - at) * two.lo + (at - k) * two.hi
+
+
+def quality(docs: DataFrame, labels: DataFrame, spared: float = SPARED, most: int = BROADCAST_IDS) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and score, a row for each row.
 
     A null text has no words and no symbols; like any text under 20 words it
@@ -133,11 +147,12 @@ def quality(docs: DataFrame, labels: DataFrame, spared: float = SPARED, sample:
     texts are read, of any length. Only doc_id, text and the labels' doc_id and
     quality are read. An empty table gives no rows.
     """
-    known = trusted(labels, sample)
-    ratios = log_ratios(docs, known)
-    least = threshold(docs, known, ratios, spared)
+    work = Workspace(docs.sparkSession, "quality")
+    known = work.write(trusted(labels), "trusted")
+    rows = work.write(measured(docs, log_ratios(docs, known, most)), "measured")
+    least = threshold(rows, known, spared)
+    work.only(rows)
     kept = ~F.col("base_failed") & (F.lit(True) if least is None else F.col("score") >= F.lit(least))
-    rows = measured(docs, ratios)
     return rows.select(*[c for c in rows.columns if c != "score"], kept.alias("kept"), "score")
 
 

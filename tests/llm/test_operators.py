@@ -476,6 +476,32 @@ def test_quality_scores_brute(spark, sf_small, spared):
         assert g[:2] == w[:2] and abs(g[2] - w[2]) < 1e-6 and g[3] == w[3]
 
 
+def test_quality_fits_on_every_trusted_row(spark):
+    r, n = random.Random(7), 24_000
+    names = [f"w{i}" for i in range(3000)]
+    rows = [(i, " ".join(r.sample(names[: 1500 if i % 3 else 3000], 20))) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    labels = [(i, int(i % 12 != 0)) for i in range(n)]
+    known = spark.createDataFrame(labels, "doc_id bigint, quality int")
+    assert quality.trusted(known).count() == 22_000
+    got = sorted((x.doc_id, x.score, x.kept) for x in quality.quality(docs, known, 0.1).collect())
+    want = brute_scores(rows, labels, 0.1)
+    assert len(got) == n and len({k for _, k in want}) == 2
+    for (_, score, kept), (s, k) in zip(got, want):
+        assert abs(score - s) < 1e-6 and kept == k
+
+
+def test_quality_without_broadcast(spark, sf_small):
+    rows = [tuple(x) for x in table(spark, sf_small, "documents").select("doc_id", "text").collect()] + EDGES
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = [sorted(map(tuple, quality.quality(docs, table(spark, sf_small, "labels"), 0.2, most).collect()), key=repr) for most in (0, quality.BROADCAST_IDS)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got[0] == got[1] and len({x[-2] for x in got[0]}) == 2
+
+
 def test_quality_scores_whole_words_and_their_order(spark):
     words = "understanding international communication requires considerable concentration always".split() * 5
     middle = [w[:3] + "qxzj" * ((len(w) - 6) // 4 + 1) + w[-3:] for w in words]
