@@ -127,15 +127,16 @@ class Workspace:
         self.live.clear()
 
 
-#: Rows of the Arrow batches in which whole texts go to Python.
-ARROW_ROWS = 1000
+#: Rows and bytes of the Arrow batches in which whole texts go to Python.
+ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Batches of ARROW_ROWS rows, unless the session sets another number than Spark's default: 10,000 whole texts take much memory."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, str(ARROW_ROWS))
+    """Batches of ARROW_ROWS rows and ARROW_BYTES at most, unless the session sets other numbers than Spark's defaults: 10,000 whole texts, or 64 MB of them in each task several times over, take much memory."""
+    for name, default, most in (("maxRecordsPerBatch", "10000", ARROW_ROWS), ("maxBytesPerBatch", "67108864b", ARROW_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        if spark.conf.get(name) == default:
+            spark.conf.set(name, str(most))
 
 
 def map_texts(df: DataFrame, run, ddl: str) -> DataFrame:

@@ -45,8 +45,10 @@ from moraine.llm.graph import components
 T, ROWS, PARITY, FOLD, MISS = 512, 7, 2048, 4, 1e-7
 #: Keys up to which they are broadcast to thin out the rows before a shuffle.
 BROADCAST_KEYS = 500_000
-#: Representatives of a bucket in its second round at most, and by how much more each round takes.
-REPRESENTATIVES = 8
+#: Representatives of a bucket in its second round at most, and by how much more each round takes, up to MOST.
+REPRESENTATIVES, MOST = 8, 4096
+#: Representatives in a row of a bucket's list at most.
+TOGETHER = 512
 _MEMO = 100_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -252,15 +254,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     while left:
         now = work.write(going.join(groups, "node", "left").select("h", "node", F.coalesce("component", "node").alias("group")), "going", left)
         slot = F.pmod(F.xxhash64("node", F.lit(most)), F.lit(most))
-        top = now.groupBy("h", slot.alias("slot")).agg(F.min("node").alias("node"), F.min_by("group", "node").alias("group"), F.min("group").alias("lo"), F.max("group").alias("hi"))
-        top = top.groupBy("h").agg(F.collect_list(F.struct("node", "group")).alias("reps"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("h", "reps")
-        top = work.write(top, "open", left // 2)
+        several = now.groupBy("h").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("h")
+        top = now.join(several, "h", "left_semi").groupBy("h", slot.alias("slot")).agg(F.min("node").alias("rep"))
+        top = work.write(top, "open", left)
         if top.isEmpty():
             break
         # Nodes and representatives with their sketches: only pairs that these leave room for are made at all.
-        facing = work.write(now.join(top.select("h"), "h", "left_semi").join(sides, "node"), "facing", 4 * left)
-        facing_reps = facing.join(top.select("h", F.col("reps.node").alias("reps")), "h").where(F.array_contains("reps", F.col("node")))
-        reps = work.write(facing_reps.groupBy("h").agg(F.collect_list(F.struct("node", "group", "odd", "n")).alias("reps")), "representatives", 4 * left)
+        facing = now.withColumn("slot", slot).join(top, ["h", "slot"]).withColumn("is_rep", F.col("node") == F.col("rep")).drop("rep")
+        facing = work.write(facing.join(sides, "node"), "facing", 4 * left)
+        # A list of all of a bucket's would grow with the bucket, and a task that collects lists holds many.
+        reps = facing.where("is_rep").groupBy("h", F.floor(F.col("slot") / TOGETHER)).agg(F.collect_list(F.struct("node", "group", "odd", "n")).alias("reps"))
+        reps = work.write(reps.select("h", "reps"), "representatives", 4 * left)
         meet = lambda r: (r["node"] != F.col("node")) & (r["group"] != F.col("group")) & _may_link(percent, r["n"], F.col("n"), r["odd"], F.col("odd"))
         pairs = facing.join(reps, "h").select("node", F.explode(F.transform(F.filter("reps", meet), lambda r: r["node"])).alias("r"))
         pairs = pairs.select(F.greatest("node", "r").alias("a"), F.least("node", "r").alias("b")).distinct().join(checked, ["a", "b"], "left_anti")
@@ -271,8 +275,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
             if not found.isEmpty():
                 tree = groups.where("node <> component").toDF("u", "v")
                 groups = components(tree.unionByName(found.toDF("u", "v")), work, rows=rows + size)
-        going = facing.select("h", "node").join(top.select("h", F.col("reps.node").alias("reps")), "h").where(~F.array_contains("reps", F.col("node"))).select("h", "node")
-        most *= REPRESENTATIVES
+        going = facing.where("not is_rep").select("h", "node")
+        most = min(most * REPRESENTATIVES, MOST)
 
     known = classes.select("words_key", "first_id", "node").join(groups, "node", "left").withColumn("group", F.coalesce("component", "node"))
     smallest = known.groupBy("group").agg(F.min("first_id").alias("component_id"))

@@ -1,6 +1,10 @@
 import re
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 from moraine.llm import minhash
+from moraine.llm.common import ARROW_BYTES, map_texts
 
 
 def brute(rows, k, percent):
@@ -78,3 +82,34 @@ def test_one_row_of_each_group_stays(spark):
     kept = [tuple(r) for r in minhash.kept_documents(docs).collect()]
     assert sorted((d for d, _ in kept), key=str) == [1, 3, 3, 4, 4, None, None]
     assert sum((t or "").lower() == text for _, t in kept) == 1 and sum(t == other for _, t in kept) == 1
+
+
+def test_representatives_stand_in_short_lists(spark, monkeypatch):
+    """However many representatives a bucket has, a row holds a few; the groups are those of all pairs."""
+    monkeypatch.setattr(minhash, "REPRESENTATIVES", 4)
+    monkeypatch.setattr(minhash, "MOST", 16)
+    monkeypatch.setattr(minhash, "TOGETHER", 4)
+    lists, write = [], minhash.Workspace.write
+
+    def written(self, df, name, rows=None):
+        out = write(self, df, name, rows)
+        if name == "representatives":
+            lists.append(max((len(r.reps) for r in out.select("reps").collect()), default=0))
+        return out
+
+    monkeypatch.setattr(minhash.Workspace, "write", written)
+    shared = " ".join(f"s{i}" for i in range(70))
+    rows = [(i, shared + " " + " ".join(f"x{i // 2 if i % 5 == 0 else i}y{j}" for j in range(20)) + f" z{i}") for i in range(60)]
+    assert got(spark, rows, 3, 85) == sorted(brute(rows, 3, 85))
+    assert len(lists) > 2 and max(lists) == 4
+
+
+def test_batches_of_long_texts_are_small(spark):
+    """Rows and bytes bound what goes to a Python worker at once."""
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["bytes"])
+
+    docs = spark.range(0, 64, 1, 1).select(F.repeat(F.lit("x"), 1 << 20).alias("text"))
+    sizes = [r.bytes for r in map_texts(docs, run, "bytes bigint").collect()]
+    assert sum(sizes) >= 64 << 20 and max(sizes) < ARROW_BYTES + (3 << 20)
