@@ -127,13 +127,17 @@ register(
 )
 
 
+#: Bits of an entry's time that hold its seq: a whole bigint, since the log's numbers grow with the log.
+SEQ_BITS = 64
+
+
 def _wal_replay(spark: SparkSession, d: str) -> DataFrame:
     """The newest versions after the log was written as binary segments, a shard for each event type and part of the keys, and read back."""
     folder, log = temporary(spark, "wal"), _sharded(event_log(spark, d))
     log = log.withColumn("frame", blocks.frame_bytes(value="event_type"))
     packed = folds.wal_segments(log, "shard", ["ts", "seq"], "frame", 20_000).select("shard", "segment", "ts", "seq", "key", F.col("event_type").alias("value"), "is_tombstone")
-    frames.write_segments(packed, folder, 20_000, 20).write.parquet(f"{folder}-written")
-    return versions.latest(frames.read_segments(spark, folder, 20)).select("key", "ts", "seq", "is_tombstone", F.col("value").cast("string").alias("value"))
+    frames.write_segments(packed, folder, 20_000, SEQ_BITS).write.parquet(f"{folder}-written")
+    return versions.latest(frames.read_segments(spark, folder, SEQ_BITS)).select("key", "ts", "seq", "is_tombstone", F.col("value").cast("string").alias("value"))
 
 
 #: Shards of ordered folds over the log for each event type.

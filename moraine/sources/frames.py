@@ -155,7 +155,7 @@ def write_segments(frames_: DataFrame, folder: str, segment_bytes: int, shift: i
     """Writes (shard, segment, ts, seq, key, value, is_tombstone) as folder/SHARD/segment-N; path and entries of each file.
 
     Each segment is one task's work and bounded; ``shift`` bits of an entry's
-    time hold its seq.
+    time hold its seq, and one that needs more is an error.
     """
     schema = pa.schema([("path", pa.string()), ("entries", pa.int64())])
 
@@ -176,6 +176,8 @@ def write_segments(frames_: DataFrame, folder: str, segment_bytes: int, shift: i
                     yield made()
                     held = []
                 at = shard, segment
+                if shift and not 0 <= seq < 1 << shift:
+                    raise ValueError(f"seq {seq} doesn't fit {shift} bits")
                 held.append(((ts << shift) | (seq if shift else 0), key.encode(), None if gone else (value or "").encode()))
         if held:
             yield made()

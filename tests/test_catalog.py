@@ -1,8 +1,10 @@
 """Each registered query against its oracle, columns, types of values and rows."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from moraine.plans import catalog
+from moraine.sources import frames
 from tests.oracle import compare, connect
 
 ROWS_ONLY = {"hll_native", "cms_native"}
@@ -34,3 +36,18 @@ def test_checksums(spark, sf_oracle):
     kinds = {r.event_id: r.event_type for r in spark.read.parquet(f"{sf_oracle}/events.parquet").collect()}
     for r in catalog.queries()["entry_crc"](spark, sf_oracle).collect():
         assert r.crc == zlib.crc32(kinds[r.seq].encode()) ^ 0xFFFFFFFF
+
+
+def test_replay_of_a_long_log(spark, sf_small, tmp_path):
+    """Sequence numbers beyond 20 bits, as a log of over a million mutations has."""
+    events = spark.read.parquet(f"{sf_small}/events.parquet")
+    events.withColumn("event_id", F.col("event_id") * 50_021).write.parquet(f"{tmp_path}/events.parquet")
+    log = connect(sf_small)
+    log.execute(f"create or replace view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    compare(catalog.queries()["kv_wal_replay"](spark, str(tmp_path)), log, catalog.oracle_sql()["kv_wal_replay"])
+
+
+def test_a_seq_too_large_for_its_bits_is_an_error(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 0, 5, 1 << 20, "k", "v", False)], "shard string, segment bigint, ts bigint, seq bigint, key string, value string, is_tombstone boolean")
+    with pytest.raises(Exception, match="doesn't fit 20 bits"):
+        frames.write_segments(rows, f"file://{tmp_path}/wal", 1_000, 20).collect()
