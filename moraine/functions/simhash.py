@@ -2,25 +2,73 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 STOPWORDS = ("this", "is", "a", "with", "to", "the", "some")
 SPACE = r"[\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 
+#: What stands in no token and between none.
+NOISE = r"[^\p{L}\p{N}" + SPACE[1:-2] + "]"
+#: Values that stand more than once, up to which they are broadcast.
+BROADCAST_KEYS = 500_000
+_AT_ONCE = 50_000
+
+
+def _cleaned(text: Column) -> Column:
+    """A text in lower case with letters, digits and spaces alone: one pass over the text, not one for each word."""
+    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), NOISE, "")
+
+
 def tokens(text: Column, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
     """Words of a text in lower case with letters and digits alone, without empty ones and stop words."""
-    words = F.split(F.lower(F.coalesce(text, F.lit(""))), SPACE)
-    clean = F.transform(words, lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}]", ""))
-    return F.filter(clean, lambda w: (w != "") & ~w.isin(*stopwords))
+    return F.filter(F.split(_cleaned(text), SPACE), lambda w: (w != "") & ~w.isin(*stopwords))
+
+
+def _counted(docs: DataFrame, by: str, text: str, stopwords: tuple[str, ...]) -> DataFrame:
+    """by, token and n of each row by itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            begun, sizes, found, counts = 0, [], [], []
+            for i in range(batch.num_rows):
+                n = Counter(batch.column(1)[i].as_py().split())  # of the spaces of split, those beyond SPACE are noise
+                for word in stopwords:
+                    n.pop(word, None)
+                sizes.append(len(n))
+                found.extend(n)
+                counts.extend(n.values())
+                if len(found) >= _AT_ONCE or i + 1 == batch.num_rows:
+                    keys = batch.column(0).take(pa.array(np.repeat(np.arange(begun, i + 1), sizes)))
+                    yield pa.RecordBatch.from_arrays([keys, pa.array(found, pa.string()), pa.array(counts, pa.int64())], names=[by, "token", "n"])
+                    begun, sizes, found, counts = i + 1, [], [], []
+
+    rows = docs.select(F.col(by), _cleaned(F.col(text)).alias("_text"))
+    return rows.mapInArrow(run, StructType([rows.schema[0], StructField("token", StringType()), StructField("n", LongType())]))
 
 
 def weights(docs: DataFrame, by: str, text: str = "text", stopwords: tuple[str, ...] = STOPWORDS) -> DataFrame:
-    """by, token and n: how often each token occurs in each text."""
-    return docs.select(by, F.explode(tokens(F.col(text), stopwords)).alias("token")).groupBy(by, "token").agg(F.count("*").alias("n"))
+    """by, token and n: how often each token occurs in each text, in all texts of a value of by together.
+
+    Each text is counted where it is read; only counts of values that stand
+    more than once are shuffled and added up.
+    """
+    again = docs.groupBy(F.col(by).alias("_again")).agg(F.count("*").alias("_n")).where("_n > 1").select("_again")
+    many = again.count()
+    if not many:
+        return _counted(docs, by, text, stopwords)
+    keys, same = F.broadcast(again) if many <= BROADCAST_KEYS else again, F.col(by).eqNullSafe(F.col("_again"))
+    docs = docs.select(by, text)
+    more = _counted(docs.join(keys, same, "left_semi"), by, text, stopwords).groupBy(by, "token").agg(F.sum("n").alias("n"))
+    return _counted(docs.join(keys, same, "left_anti"), by, text, stopwords).unionByName(more)
 
 
 def fingerprints(docs: DataFrame, by: str, text: str = "text", stopwords: tuple[str, ...] = STOPWORDS) -> DataFrame:

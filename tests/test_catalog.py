@@ -51,3 +51,18 @@ def test_a_seq_too_large_for_its_bits_is_an_error(spark, tmp_path):
     rows = spark.createDataFrame([("a", 0, 5, 1 << 20, "k", "v", False)], "shard string, segment bigint, ts bigint, seq bigint, key string, value string, is_tombstone boolean")
     with pytest.raises(Exception, match="doesn't fit 20 bits"):
         frames.write_segments(rows, f"file://{tmp_path}/wal", 1_000, 20).collect()
+
+
+def test_token_counts_of_repeated_ids(spark, tmp_path):
+    """Texts of one id, and of no id, count together; odd spaces, letters and marks are as in SQL."""
+    odd = "Größe ÉCOLE don't\x1cstop ١٢ the　The\x85x​y -- 漢字 é \U0001d400 \U0001f600"
+    texts = [(1, "a b b c"), (1, "B b d the"), (2, odd), (3, None), (4, ""), (None, "x y"), (None, "y"), (5, " ".join(f"w{i % 30000}" for i in range(60_000))), (6, "this is"), (7, odd.upper())]
+    spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    con = connect("/root/testdata/sf0.001")
+    con.execute(f"create or replace view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    compare(catalog.queries()["simhash_tokens"](spark, str(tmp_path)), con, catalog.oracle_sql()["simhash_tokens"])
+
+
+def test_token_counts_of_single_ids_are_not_shuffled(spark, sf_small):
+    df = catalog.queries()["simhash_tokens"](spark, sf_small)
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
