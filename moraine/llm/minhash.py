@@ -46,9 +46,7 @@ T, ROWS, PARITY, FOLD, MISS = 512, 7, 2048, 4, 1e-7
 #: Keys up to which they are broadcast to thin out the rows before a shuffle.
 BROADCAST_KEYS = 500_000
 #: Representatives of a bucket in its second round at most, and by how much more each round takes, up to MOST.
-REPRESENTATIVES, MOST = 8, 4096
-#: Representatives in a row of a bucket's list at most.
-TOGETHER = 512
+REPRESENTATIVES, MOST = 8, 1024
 _MEMO = 100_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -262,9 +260,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         # Nodes and representatives with their sketches: only pairs that these leave room for are made at all.
         facing = now.withColumn("slot", slot).join(top, ["h", "slot"]).withColumn("is_rep", F.col("node") == F.col("rep")).drop("rep")
         facing = work.write(facing.join(sides, "node"), "facing", 4 * left)
-        # A list of all of a bucket's would grow with the bucket, and a task that collects lists holds many.
-        reps = facing.where("is_rep").groupBy("h", F.floor(F.col("slot") / TOGETHER)).agg(F.collect_list(F.struct("node", "group", "odd", "n")).alias("reps"))
-        reps = work.write(reps.select("h", "reps"), "representatives", 4 * left)
+        # At most MOST of a bucket: a task that collects lists holds many.
+        reps = facing.where("is_rep").groupBy("h").agg(F.collect_list(F.struct("node", "group", "odd", "n")).alias("reps"))
+        reps = work.write(reps, "representatives", 4 * left)
         meet = lambda r: (r["node"] != F.col("node")) & (r["group"] != F.col("group")) & _may_link(percent, r["n"], F.col("n"), r["odd"], F.col("odd"))
         pairs = facing.join(reps, "h").select("node", F.explode(F.transform(F.filter("reps", meet), lambda r: r["node"])).alias("r"))
         pairs = pairs.select(F.greatest("node", "r").alias("a"), F.least("node", "r").alias("b")).distinct().join(checked, ["a", "b"], "left_anti")
